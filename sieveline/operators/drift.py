@@ -22,7 +22,7 @@ from sieveline.session import stage
 #: Buckets of the value sketch: a hashed count vector of tokens and token shapes.
 SKETCH = 128
 #: Least similarity of a rename.
-RENAME_AT = 0.53
+RENAME_AT = 0.475
 
 _STATS = ["s_len", "s_words", "s_digit", "s_upper", "s_alpha", "s_punct", "s_number", "s_year", "s_doi", "s_sep", "s_null"]
 
@@ -227,3 +227,57 @@ def schema_changes(rows: DataFrame, log: DataFrame, values: DataFrame | None = N
     matched = sides.groupBy("source_file").applyInPandas(
         _match_file, "source_file string, change_kind string, old_name string, new_name string, similarity double")
     return matched.unionByName(retyped)
+
+
+def _canonical(group: pd.DataFrame) -> pd.DataFrame:
+    """One canonical name for each set of names that renames connect within a feed."""
+    from sieveline.sources.load import ALIASES
+
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for old, new in zip(group["old_name"], group["new_name"]):
+        a, b = sorted((root(old), root(new)))
+        parent[b] = a
+    sets: dict[str, list[str]] = {}
+    for name in list(parent):
+        sets.setdefault(root(name), []).append(name)
+    out = []
+    for names in sets.values():
+        known = sorted({ALIASES[n] for n in names if n in ALIASES})
+        out += [(n, known[0] if known else min(names)) for n in names]
+    result = pd.DataFrame(out, columns=["field", "canonical"])
+    result.insert(0, "feed", group["feed"].iloc[0])
+    return result
+
+
+def unified_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """(row_id, source_file, feed, the canonical columns, extra): every row in one schema.
+
+    A field's canonical name is that of the names its renames connect it with in the feed, else its
+    known alias, else itself. Fields without a canonical column are kept in the map ``extra``. Where a
+    row has two names of one column, the first non-empty value by name wins. Rows whose payload can't be
+    read come out with null columns, so no row is lost; a file that no log names has a null feed.
+    """
+    from sieveline.sources.load import ALIASES, STANDARD
+
+    values = stage(payload_values(rows))
+    feeds = feed_order(log).select("source_file", "feed").dropDuplicates(["source_file"])
+    renames = schema_changes(rows, log, values).where("change_kind = 'renamed'").join(feeds, "source_file").select(
+        "feed", "old_name", "new_name").distinct()
+    names = renames.groupBy("feed").applyInPandas(_canonical, "feed string, field string, canonical string")
+    aliases = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    named = values.join(feeds, "source_file", "left").join(names, ["feed", "field"], "left").withColumn(
+        "canonical", F.coalesce("canonical", aliases[F.col("field")], "field"))
+    columns = [c for c in STANDARD if c not in ("source_file", "source_format")]
+    filled = F.col("text").isNotNull() & (F.trim("text") != "")
+    wide = named.groupBy("row_id").agg(
+        *[F.min_by(F.when(filled & (F.col("canonical") == c), F.col("text")),
+                   F.when(filled & (F.col("canonical") == c), F.col("field"))).alias(c) for c in columns],
+        F.map_from_entries(F.array_sort(F.collect_set(F.when(filled & ~F.col("canonical").isin(columns), F.struct("field", "text"))))).alias("extra"))
+    base = rows.select("row_id", "source_file").join(feeds, "source_file", "left")
+    return base.join(wide, "row_id", "left").select("row_id", "source_file", "feed", *columns, F.to_json("extra").alias("extra"))
