@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.copies import collapse, copy_members, copy_pairs, encoded_fields
 from sieveline.llm.encode import decode_corpus, encode_corpus, token_counts
+from sieveline.llm.survivor import only_full, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,16 @@ def p4_with_doi(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("title", "doi").agg(F.min("record_id").alias("group_id"), F.count("*").alias("copies")).select("group_id", "copies")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of which one record of a publication alone has the full value."""
+    return only_full(_t(spark, d, "records"))
+
+
+def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """One record per publication with the best value of each field."""
+    return survivors(_t(spark, d, "records"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(_t(spark, d, "documents"))
@@ -48,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "p4_collapsed": p4_collapsed,
     "p4_with_doi": p4_with_doi,
     "p4_members": lambda s, d: copy_members(_t(s, d, "records")),
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p8_counts": lambda s, d: token_counts(_t(s, d, "documents")),
