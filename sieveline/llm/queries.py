@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.copies import collapse, copy_members, copy_pairs, encoded_fields
 from sieveline.llm.encode import decode_corpus, encode_corpus, token_counts
+from sieveline.llm.names import link_names, linked_pairs
 from sieveline.llm.survivor import only_full, survivors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,11 @@ def p5_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors(_t(spark, d, "records"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of spellings of one person or organisation."""
+    return linked_pairs(_t(spark, d, "author_names"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(_t(spark, d, "documents"))
@@ -61,6 +67,8 @@ QUERIES: dict[str, Query] = {
     "p4_members": lambda s, d: copy_members(_t(s, d, "records")),
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p7_found": p7_found,
+    "p7_entities": lambda s, d: link_names(_t(s, d, "author_names")),
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p8_counts": lambda s, d: token_counts(_t(s, d, "documents")),
