@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.copies import collapse, copy_members, copy_pairs, encoded_fields
 from sieveline.llm.encode import decode_corpus, encode_corpus, token_counts
+from sieveline.llm.language import detect, texts_of, train, training_sample, wrong_labels
 from sieveline.llm.names import link_names, linked_pairs
 from sieveline.llm.survivor import only_full, survivors
 
@@ -19,6 +20,18 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of each segment of every record and document."""
+    texts = texts_of(_t(spark, d, "records"), _t(spark, d, "documents"))
+    sample = training_sample(texts)
+    return detect(texts, train([t for t, _ in sample], [lang for _, lang in sample]))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of the rows with a missing or wrong language label."""
+    return wrong_labels(p2_segments(spark, d)).select("src", "row_id", "seg_no", "lang")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records that are the same but for formatting."""
     return copy_pairs(_t(spark, d, "records"))
@@ -61,6 +74,8 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
+    "p2_segments": p2_segments,
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
     "p4_with_doi": p4_with_doi,
