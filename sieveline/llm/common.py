@@ -38,7 +38,7 @@ def doi_key(col: Column) -> Column:
     """A DOI without label, resolver, case, white space and punctuation; '' unless it is one."""
     text = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r"(?U)\s+", "")
     text = F.regexp_replace(text, r"^(?:https?:/*|(?:www\.)?(?:dx\.)?doi\.org/*|doi[:=]*)+", "")
-    return F.when(text.rlike(r"^10\.[0-9]{2,9}/[\p{L}\p{N}]"), F.regexp_replace(text, _BARE, "")).otherwise("")
+    return F.when(text.rlike(r"^10\.[0-9]{1,9}/[\p{L}\p{N}]"), F.regexp_replace(text, _BARE, "")).otherwise("")
 
 
 def author_key_of(text: str | None) -> str:

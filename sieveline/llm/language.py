@@ -293,8 +293,10 @@ def detect(texts: DataFrame, model: LanguageModel) -> DataFrame:
                 part = frame.iloc[at : at + CHUNK]
                 got = segments(model, part["text"].tolist())
                 n = np.asarray([len(g) for g in got])
+                if not n.sum():
+                    continue
                 rows = part[["src", "row_id", "label"]].iloc[np.repeat(np.arange(len(part)), n)]
-                yield rows.assign(seg_no=np.concatenate([np.arange(1, k + 1) for k in n] or [[]]).astype("int32"), lang=[x for g in got for x, _ in g],
+                yield rows.assign(seg_no=np.concatenate([np.arange(1, k + 1) for k in n]).astype("int32"), lang=[x for g in got for x, _ in g],
                                   confidence=[x for g in got for _, x in g], segs=np.repeat(n, n).astype("int32"))
 
     return texts.mapInPandas(run, "src string, row_id long, label string, seg_no int, lang string, confidence double, segs int")

@@ -35,7 +35,7 @@ LABELLED, UNLABELLED = 2000, 6000
 #: Score from which a category holds.
 HOLDS = 0.3
 #: Log-odds from which an unlabelled sentence joins the positives; weight of sentences of documents labelled not so.
-SURE, DENIED = 0.5, 3.0
+SURE, DENIED = 2.0, 3.0
 #: Hashed weights per category; distinct words a worker remembers.
 WEIGHTS, CACHE = 1 << 18, 400_000
 
@@ -176,8 +176,8 @@ class ToxicityModel:
         total = np.add.reduceat(score, starts, axis=0)
         n = np.add.reduceat(word.astype(int), starts)
         logit = self.bias + total / np.sqrt(np.maximum(n, 1))[:, None]
-        logit[n == 0] = -50
-        np.maximum.at(out, owner[starts], 1 / (1 + np.exp(-np.clip(logit, -50, 50))))
+        said = n > 0
+        np.maximum.at(out, owner[starts][said], 1 / (1 + np.exp(-np.clip(logit[said], -50, 50))))
         return out
 
 
@@ -194,18 +194,20 @@ def boilerplate(corpus: Corpus, others: np.ndarray, share: float = 0.003) -> np.
 
 
 def telling_words(corpus: Corpus, s: np.ndarray, f: np.ndarray, positive: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Per sentence, how much its features are those of positive documents, or are used rarely but by several."""
+    """Per sentence, the mean log-odds of its features to stand in positive rather than in other documents.
+
+    The document itself does not count; what no other document has tells little. Short sentences tell less.
+    """
     doc = corpus.owner[s]
     keys = np.unique(doc * WEIGHTS + f)
     d, feature = keys // WEIGHTS, keys % WEIGHTS
     p = np.bincount(feature[positive[d]], minlength=WEIGHTS)
     u = np.bincount(feature[others[d]], minlength=WEIGHTS)
-    n_p, n_u = max(1, positive.sum()), max(1, others.sum())
-    gain = np.log((p - 0.9).clip(0.1) / n_p) - np.log((u + 0.5) / n_u)  # the document itself does not count
-    gain[p < 2] = 0
-    rare = np.where((u >= 3) & (u < 0.01 * n_u), np.log(0.01 * n_u / np.maximum(u, 1)), 0)
-    total = np.bincount(s, (np.maximum(gain, 0) + 0.5 * rare)[f], len(corpus.ends))
-    return total / np.sqrt(np.maximum(np.bincount(s, minlength=len(corpus.ends)), 1))
+    odds = np.log(((p - 1).clip(0) + 0.1) / (positive.sum() + 1)) - np.log((u + 0.5) / max(1, others.sum()))
+    odds = np.clip(odds, -2, 6)
+    odds[(u == 0) & (p < 2)] = 1.0
+    n = np.bincount(s, minlength=len(corpus.ends))
+    return np.bincount(s, odds[f], len(corpus.ends)) / np.maximum(n, 1) * np.minimum(1, n / 12)
 
 
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
@@ -217,7 +219,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(best)
 
 
-def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 6, steps: int = 30, rate: float = 0.6, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 3, steps: int = 30, rate: float = 0.6, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """(weights, bias) of one category; ``marks`` of the documents: 1 labelled so, 0 labelled not so, -1 unlabelled.
 
     In each turn the sentences that stand for the positive documents are chosen anew, and unlabelled sentences
@@ -239,8 +241,8 @@ def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 6, steps: in
     inside, denied = positive[corpus.owner], (marks == 0)[corpus.owner]
     common = boilerplate(corpus, others)
     able = inside & ~common
-    chosen = np.where(able, telling_words(corpus, s, f, positive, others), 0)
-    weights, bias, prior = np.zeros(WEIGHTS), 0.0, 0.01
+    chosen = np.where(able, telling_words(corpus, *corpus.features(), positive, others), 0)
+    weights, bias, prior = np.zeros(WEIGHTS), -9.0, 0.01
 
     def logits(weights: np.ndarray, bias: float) -> np.ndarray:
         own = np.bincount(g_owner, weights[g_feat] * g_share, len(listed))
@@ -249,9 +251,8 @@ def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 6, steps: in
     for turn in range(rounds):
         top = np.full(len(positive), -np.inf)
         np.maximum.at(top, corpus.owner[able], chosen[able])
-        usual = np.median(top[np.isfinite(top)]) if np.isfinite(top).any() else 0
         best = able & (chosen >= top[corpus.owner] - 1e-9)
-        pos = best & (chosen > 0.5 * usual) if turn == 0 else (best & (chosen > -1)) | (able & (chosen > 0))
+        pos = (best & (chosen > 0.6)) | (able & (chosen > 2.0)) if turn == 0 else (best & (chosen > -1)) | (able & (chosen > 0))
         sure = np.zeros(n, bool) if turn == 0 else ~inside & ~denied & ~common & (chosen > SURE)
         if not pos.any():
             break
