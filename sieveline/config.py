@@ -53,6 +53,7 @@ class ScreeningConfig:
     rule_weight: float = 0.4
     tfidf_weight: float = 0.6
     max_features: int = 8000
+    stop_words: list[str] | None = None  # None: Spark's English list
     direct_high: bool = True
     direct_low: bool = True
 

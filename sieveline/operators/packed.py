@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveline.session import spread
+
 #: Bits of the error flag.
 UNCLOSED_QUOTE, BROKEN_JSON, ODD_NAME_LIST, UNCLOSED_BRACKET = 1, 2, 4, 8
 
@@ -269,7 +271,7 @@ def split_packed(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     """
     each = F.array(*[F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("kind"),
                               F.col(name).cast("string").alias("text")) for name, kind in fields.items()])
-    rows = df.select(F.col(key).alias("_key"), F.explode(each).alias("_f")).where(F.col("_f.text").rlike(r"\S"))
+    rows = spread(df.select(key, *fields)).select(F.col(key).alias("_key"), F.explode(each).alias("_f")).where(F.col("_f.text").rlike(r"\S"))
     return (
         rows.select("_key", "_f.field_name", packed_values("_f.text", "_f.kind").alias("_v"))
         .select("_key", "field_name", F.explode("_v").alias("_v"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import text_blob
 from sieveline.operators.rules import set_judgment, undecided
-from sieveline.session import stage
+from sieveline.session import spread, stage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -19,8 +21,17 @@ def stop_words() -> list[str]:
 
 
 def words_of(text: Column, stops: list[str]) -> Column:
-    """array<string>: lower-case words of two or more characters without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(stops))
+    """array<string>: lower-case words of two or more characters without stop words.
+
+    Stop words are cut out of the text before it is split: a regular expression stays in generated code,
+    a lambda over the words would not.
+    """
+    low = F.lower(text)
+    if stops:
+        edge = r"[\p{L}\p{N}_]"
+        listed = "|".join(sorted({re.escape(w) for w in stops}))
+        low = F.regexp_replace(low, f"(?<!{edge})(?:{listed})(?!{edge})", " ")
+    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
 
 
 def _with_pairs(words: str) -> Column:
@@ -49,7 +60,7 @@ def tfidf_scores(df: DataFrame, seeds: list[str], key: str = "record_id", max_fe
     text = text_blob(F.col("title"), F.col("abstract"), F.col("keywords"))
     queries = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "seed long, text string")
     seed_terms = document_terms(queries, "seed", F.col("text"), stops)
-    row_terms = document_terms(df, key, text, stops)
+    row_terms = document_terms(spread(df.select(key, "title", "abstract", "keywords")), key, text, stops)
     counts = row_terms.select("term").unionByName(seed_terms.select("term")).groupBy("term").agg(F.count("*").alias("freq"))
     vocabulary = stage(counts.orderBy(F.desc("freq"), "term").limit(max_features).select("term"))
     kept = stage(row_terms.join(F.broadcast(vocabulary), "term").repartition(key).groupBy(key, "term").agg(

@@ -101,8 +101,8 @@ def tfidf_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def full_screening(spark: SparkSession, d: str) -> DataFrame:
     df = _t(spark, d, "records").select("record_id", "title", "abstract", "keywords")
-    got = screen(df, RULES, ScreeningConfig(seed_texts=["insomnia sleep nurses"], tfidf_low=0.001))
-    return got.select("record_id", "rule_tier", "screening_level", "screening_method")
+    got = screen(df, RULES, ScreeningConfig(seed_texts=["insomnia sleep nurses"], tfidf_low=0.001, stop_words=STOPS))
+    return got.select("record_id", "rule_tier", "screening_level", "screening_method", "is_boundary", "is_candidate")
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -357,6 +357,12 @@ SQL: dict[str, str] = {
         SELECT record_id, run_id, CASE WHEN k THEN '高相关' ELSE screening_level END AS screening_level, CASE WHEN k THEN 'rank25' ELSE '' END AS screening_method FROM x""",
     "rank_stats": f"""WITH {_RS} SELECT * FROM ({_score_stats('rank_score', 'rk')}) CROSS JOIN (SELECT count(*) AS total, count(*) FILTER (rank_tier = 'rank_selected') AS selected,
         round(count(*) FILTER (rank_tier = 'rank_selected') * 100.0 / count(*), 6) AS selected_percentage FROM rk)""",
+    "full_screening": f"""WITH {_M}, {_tfidf_sql(["insomnia sleep nurses"], STOPS)}, x AS (SELECT j.*, tfidf_score, 0.4 * rule_score + 0.6 * tfidf_score AS rank_score FROM j JOIN tfidf USING (record_id)),
+        y AS (SELECT *, CASE WHEN screening_level <> '' THEN 0 WHEN tfidf_score >= 0.3 THEN 2 WHEN tfidf_score < 0.001 THEN 1 ELSE 0 END AS k,
+          rank_score >= quantile_cont(rank_score, 0.75) OVER () AS top FROM x),
+        z AS (SELECT *, CASE k WHEN 1 THEN '低相关' WHEN 2 THEN '高相关' ELSE screening_level END AS l, CASE WHEN k > 0 THEN 'tfidf_threshold' ELSE screening_method END AS m FROM y)
+        SELECT record_id, rule_tier, CASE WHEN l = '' AND top THEN '高相关' ELSE l END AS screening_level, CASE WHEN l = '' AND top THEN 'rank25' ELSE m END AS screening_method,
+          rule_tier = 'rule_boundary' AS is_boundary, l = '' AND NOT top AND rule_tier <> 'rule_boundary' AS is_candidate FROM z""",
     "level_distribution": "SELECT coalesce(screening_level, '') AS screening_level, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM screening), 6) AS percentage FROM screening GROUP BY 1",
     "undecided": "SELECT record_id, run_id FROM screening WHERE coalesce(screening_level, '') = ''",
     "manual_review": f"""WITH {_CHOSEN} SELECT record_id, run_id, coalesce({_LEVEL}, screening_level) AS screening_level, coalesce({_EVIDENCE}, evidence_type) AS evidence_type,

@@ -61,3 +61,16 @@ def stage(df: DataFrame) -> DataFrame:
 def persist(df: DataFrame) -> DataFrame:
     """Cache for a frame that is read twice and is cheap to recompute."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than there are cores; anything else stays as it is.
+
+    A large table has many splits, so this only moves tables of a few small files, before work that is
+    heavy on each row. Plans that already shuffle are left alone.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    if df.isStreaming or any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Distinct", "Limit", "LogicalRDD", "LocalRelation")):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
