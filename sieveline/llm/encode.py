@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import HOT_KEYS, join_lookup
-from sieveline.session import stage
+from sieveline.session import spread, stage
 
 #: Folder of the vocabulary files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
@@ -63,7 +63,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     (key, text) rows are encoded once. Texts are encoded whole, whatever their length. Other columns of
     ``df`` play no part.
     """
-    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"),
+    rows = spread(df.select(key, text)).select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"),
                      F.xxhash64(F.col(text).cast("string")).alias("_hash"))
     pieces = rows.where("length(_text) > 0").select("_key", "_hash", F.posexplode(split_words(F.col("_text"))).alias("pos", "word"))
     counts = pieces.groupBy("word").agg(F.count("*").alias("n"))
@@ -94,7 +94,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
 
     Token counts add up over words, so only the number of each distinct word is joined and rows are summed.
     """
-    rows = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    rows = spread(df.select(key, text)).select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
     pieces = rows.where("length(_text) > 0").select("_key", "_hash", F.explode(split_words(F.col("_text"))).alias("word"))
     lookup = stage(encode_words(pieces.groupBy("word").agg(F.count("*").alias("n")), path).select("word", "n", F.size("ids").alias("size")))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import PLACEHOLDERS, bare
+from sieveline.session import spread
 
 LANGS = ("en", "de", "fr", "es", "pt", "zh")
 # How labels name these languages, lower case, before any hyphen or underscore.
@@ -266,9 +267,9 @@ def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0
 def texts_of(records: DataFrame, documents: DataFrame) -> DataFrame:
     """(src, row_id, label, text) of both tables; placeholders are no text."""
     part = lambda c: F.when(~bare(F.col(c)).isin(*PLACEHOLDERS), F.regexp_replace(F.col(c), r"[\r\n]+", " ") if c == "title" else F.col(c))
-    a = records.select(F.lit("records").alias("src"), F.col("record_id").alias("row_id"), F.col("lang").alias("label"),
+    a = spread(records.select("record_id", "title", "abstract", "lang")).select(F.lit("records").alias("src"), F.col("record_id").alias("row_id"), F.col("lang").alias("label"),
                        F.concat_ws("\n", part("title"), part("abstract")).alias("text"))
-    b = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"),
+    b = spread(documents.select("doc_id", "text", "lang")).select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"),
                          F.coalesce("text", F.lit("")).alias("text"))
     return a.unionByName(b)
 

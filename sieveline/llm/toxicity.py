@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import spread
+
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Bounds of the training sample, in documents: labelled positives of a category (and labelled with none), and unlabelled.
 LABELLED, UNLABELLED = 2000, 6000
@@ -317,7 +319,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             got = [model.scores(frame["text"].iloc[i : i + 1000].tolist()) for i in range(0, len(frame), 1000)]
             yield frame[["doc_id", "source"]].assign(**dict(zip(CATEGORIES, np.concatenate(got).T if got else np.zeros((3, 0)))))
 
-    slim = documents.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    slim = spread(documents.select("doc_id", "source", "text")).withColumn("text", F.coalesce("text", F.lit("")))
     return slim.mapInPandas(run, "doc_id long, source string, " + ", ".join(f"{c} double" for c in CATEGORIES))
 
 
