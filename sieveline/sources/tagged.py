@@ -58,7 +58,7 @@ _EDGE = r"^\s+|\s+$"
 def read_whole(spark, paths: list[str]) -> DataFrame:  # noqa: ANN001
     """(path, value): each file as one text; bytes that are no UTF-8 are dropped."""
     text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return text.withColumn("value", F.replace(F.col("value"), F.lit("�"), F.lit("")))
+    return text.withColumn("value", F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit("")))
 
 
 def sniff(value: Column) -> Column:
