@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 
 from sieveline.config import LLMConfig, RuleMode, RuleSet, as_mode
 
-# Chat endpoints of the providers, and the levels a reply may name.
-BASE_URLS = {"openai": "https://api.openai.com/v1", "deepseek": "https://api.deepseek.com/v1",
-             "qwen": "https://dashscope.aliyuncs.com/compatible-mode/v1", "claude": "https://api.anthropic.com/v1",
-             "kimi": "https://api.moonshot.cn/v1", "zhipu": "https://open.bigmodel.cn/api/paas/v4"}
+# Chat endpoints by provider name (others that speak the same protocol need ``base_url``), and the levels a reply may name.
+BASE_URLS = {
+    "openai": "https://api.openai.com/v1", "gpt": "https://api.openai.com/v1", "chatgpt": "https://api.openai.com/v1",
+    "deepseek": "https://api.deepseek.com", "deepseek-ai": "https://api.deepseek.com",
+    "kimi": "https://api.moonshot.cn/v1", "moonshot": "https://api.moonshot.cn/v1", "moonshot-ai": "https://api.moonshot.cn/v1",
+    "qwen": "https://dashscope.aliyuncs.com/compatible-mode/v1", "ali": "https://dashscope.aliyuncs.com/compatible-mode/v1",
+    "alibabacloud": "https://dashscope.aliyuncs.com/compatible-mode/v1",
+}
+COMPATIBLE = ("claude", "anthropic")
 LEVELS = {"high": "高相关", "boundary": "边界相关", "low": "低相关"}
 
 
@@ -82,7 +87,7 @@ class HttpClient(SemanticClient):
 
     def complete(self, prompt: str) -> str:
         c = self.config
-        url = (c.base_url or BASE_URLS.get(c.provider, BASE_URLS["openai"])).rstrip("/") + "/chat/completions"
+        url = (c.base_url or BASE_URLS.get(c.provider.lower(), BASE_URLS["openai"])).rstrip("/") + "/chat/completions"
         body = {"model": c.model, "temperature": c.temperature, "max_tokens": c.max_tokens,
                 "messages": [{"role": "user", "content": prompt}]}
         request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json",
@@ -114,9 +119,10 @@ class MockClient(SemanticClient):
 
 
 def semantic_client(config: LLMConfig) -> SemanticClient:
-    if config.provider in BASE_URLS:
+    provider = config.provider.lower()
+    if provider in BASE_URLS or provider in COMPATIBLE:
         return HttpClient(config)
-    if config.provider != "mock":
+    if provider != "mock":
         warnings.warn(f"unknown provider {config.provider!r}: constant replies are used", stacklevel=2)
     return MockClient(config)
 
