@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,22 +46,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{local}"
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage as ``checkpoint()`` does, but computes the plan once and
     keeps the columns in Parquet, so that later readers prune columns. Losing an
-    executor loses nothing.
+    executor loses nothing. The files stay until ``clean_staged`` or the end of the program.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def persist(df: DataFrame) -> DataFrame:
-    """Cache for a frame that is read twice and is cheap to recompute."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def clean_staged() -> None:
+    """Delete what ``stage`` has written; only after the results that need it are computed."""
+    while _staged:
+        spark, path = _staged.pop()
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
+            continue
+        try:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+        except Exception:  # noqa: BLE001, S112
+            continue  # the session is gone; the folder belongs to it
+
+
+atexit.register(clean_staged)
 
 
 def spread(df: DataFrame) -> DataFrame:
