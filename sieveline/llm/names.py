@@ -17,6 +17,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -387,18 +388,34 @@ def link_names(df: DataFrame) -> DataFrame:
     names = stage(corrected_given(settle_order(read_names(df))))
     blocks = corrected_surnames(names)
 
-    def decide(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("name_id").to_dict("records")
+    def solve(kind: str, block: str, rows: list[dict]) -> list[tuple[int, int]]:
         for r in rows:
             r["names"] = list(r["names"]) if r["names"] is not None else []
-        numbers = _attribute_groups(rows) if key[0] == "g" else list(range(len(rows))) if not key[1] else attribute(rows)
+        numbers = _attribute_groups(rows) if kind == "g" else list(range(len(rows))) if not block else attribute(rows)
         ids = [r["name_id"] for r in rows]
         least: dict[int, int] = {}
         for i, k in zip(ids, numbers):
             least[k] = min(least.get(k, i), i)
-        return pd.DataFrame({"name_id": ids, "entity_id": [least[k] for k in numbers]})
-
-    linked = blocks.groupBy("kind", "block").applyInPandas(decide, "name_id long, entity_id long")
+        return [(i, least[k]) for i, k in zip(ids, numbers)]
+
+    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows, out = ("", ""), [], []
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                if rows and (r["kind"], r["block"]) != key:
+                    out += solve(*key, rows)
+                    rows = []
+                key = (r["kind"], r["block"])
+                rows.append(r)
+            if out:
+                yield pd.DataFrame(out, columns=["name_id", "entity_id"])
+                out = []
+        if rows:
+            yield pd.DataFrame(solve(*key, rows), columns=["name_id", "entity_id"])
+
+    # surnames are many and small: walking sorted partitions spares the cost of a frame for each
+    ordered = blocks.repartition("kind", "block").sortWithinPartitions("kind", "block", "name_id")
+    linked = ordered.mapInPandas(decide, "name_id long, entity_id long")
     blank = df.where("author is null").select("name_id", F.col("name_id").alias("entity_id"))
     return linked.unionByName(blank)
 
