@@ -17,7 +17,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +49,8 @@ NICKNAMES = {
 P_INITIAL, P_TYPO, P_NICK, P_MISSING, P_MOVED = 0.35, 0.04, 0.05, 0.18, 0.08
 #: Chance that a moved person is seen at one given other place, and weight of being a person of their own.
 P_PLACE, P_OWN = 0.012, 0.0008
+#: As many letters may stand behind the first by chance.
+LETTERS = 26
 #: A surname so rare may be a misspelling of a more frequent one.
 RARE = 2
 #: A given name is a misspelling of one that is so many times as frequent.
@@ -173,10 +175,45 @@ class _Entity:
         if r["place"]:
             self.places[r["place"]] += 1
 
+    def copy(self) -> _Entity:
+        other = type(self)()
+        for name in ("given", "letters", "places", "surnames", "spellings"):
+            setattr(other, name, getattr(self, name).copy())
+        other.n = self.n
+        return other
+
     def likelihood(self, r: dict) -> float:
         """P(spelling, place | entity); 0 for the impossible. One entity has a spelling once."""
-        if r["author"] in self.spellings:
-            return 0.0
+        p = 0.0 if r["author"] in self.spellings else self.name_likelihood(r)
+        if not p or not r["place"]:
+            return p * P_MISSING
+        if r["place"] in self.places:
+            return p * (1 - P_MISSING - P_MOVED) * (self.places[r["place"]] / sum(self.places.values()))
+        return p * P_MOVED * P_PLACE if self.places else p * 0.1
+
+    def joint(self, group: list[dict]) -> float:
+        """Log-likelihood of spellings of one place against that a new entity is at that place; -inf for the impossible.
+
+        Each has its own chance of a changed place. Letters behind the first that agree are no chance either.
+        """
+        out, e = self.agreed(group[0]), self
+        for k, r in enumerate(group):
+            like = e.likelihood(r)
+            if not like:
+                return -math.inf
+            if r["place"] and r["place"] not in self.places:
+                like = like / P_PLACE if k == 0 else e.name_likelihood(r) * P_MOVED * P_PLACE
+            out += math.log(like)
+            if k + 1 < len(group):
+                e = e.copy() if e is self else e
+                e.add(r)
+        return out
+
+    def agreed(self, r: dict) -> float:
+        """Log-odds that the letters behind the first agree, for a stranger's would by chance."""
+        return max(0, min(len(r["ini"]), max(map(len, self.letters), default=0)) - 1) * math.log(LETTERS)
+
+    def name_likelihood(self, r: dict) -> float:
         # a misspelt surname is only decided here if it is near: that a stranger has a surname so near is as rare as the error
         p = 1.0 if r["surname"] in self.surnames else 0.5
         mine = max(self.letters, key=len, default="")
@@ -202,11 +239,7 @@ class _Entity:
             return 0.0
         if (len(a) > 1) != (len(b) > 1):
             p *= 0.6
-        if not r["place"]:
-            return p * P_MISSING
-        if r["place"] in self.places:
-            return p * (1 - P_MISSING - P_MOVED) * (self.places[r["place"]] / sum(self.places.values()))
-        return p * P_MOVED * P_PLACE if self.places else p * 0.1
+        return p
 
 
 def attribute(rows: list[dict]) -> list[int]:
@@ -238,31 +271,37 @@ def attribute(rows: list[dict]) -> list[int]:
                 if all(merged.likelihood(r) > 0 for r in group):
                     units[fulls[0]] += units.pop((g, place))
     order = sorted(units.items(), key=lambda kv: (kv[0][1].startswith("?"), -len(kv[1]), -max(len(r["names"]) for r in kv[1]), kv[0]))
+    ranked = [sorted(group, key=lambda r: (not r["names"], -len(r["ini"]), r["author"])) for _, group in order]
+    return _settle(ranked, len(rows), _Entity, lambda r: r["ini"][:1])
+
+
+def _settle(units: list[list[dict]], total: int, kind: type[_Entity], key: Callable[[dict], str]) -> list[int]:
+    """A number for each row: every unit goes, as a whole, to the entity of greatest posterior or is a new one.
+
+    ``key`` is what all spellings of an entity have in common.
+    """
     entities: list[_Entity] = []
-    total = len(rows)
-    for (_, place), group in order:
-        group = sorted(group, key=lambda r: (not r["names"], -len(r["ini"]), r["author"]))
-        own = math.log(P_OWN)
-        best, score = None, own
-        if len(group) == 1 or place.startswith("?"):
-            r = group[0]
-            for e in entities:
-                like = e.likelihood(r)
-                if like > 0:
-                    s = math.log(e.n / total) + math.log(like) - math.log(P_PLACE if r["place"] and r["place"] not in e.places else 1.0)
-                    if s > score or best is not None and s == score and e.n > best.n:
-                        best, score = e, s
-        if best is None:
-            best = _Entity()
-            entities.append(best)
+    by_key: dict[str, list[_Entity]] = defaultdict(list)
+
+    def new(r: dict) -> _Entity:
+        entities.append(kind())
+        by_key[key(r)].append(entities[-1])
+        return entities[-1]
+
+    for group in units:
+        once = list({r["author"]: r for r in reversed(group)}.values())[::-1]
+        alone = kind()
+        alone.add({**once[0], "i": -1})
+        best, score = None, math.log(P_OWN) + (alone.joint(once[1:]) - alone.agreed(once[1]) if once[1:] else 0.0)
+        for e in by_key[key(once[0])]:
+            s = e.joint(once) + math.log(e.n / total)
+            if s > score or best is not None and s == score and e.n > best.n:
+                best, score = e, s
+        best = best or new(once[0])
         for r in group:
-            if r["author"] in best.spellings:  # the same spelling twice: two people
-                other = _Entity()
-                other.add(r)
-                entities.append(other)
-            else:
-                best.add(r)
-    out = [0] * len(rows)
+            # the same spelling twice: two people
+            (best if r["author"] not in best.spellings else new(r)).add(r)
+    out = [0] * total
     for k, e in enumerate(entities):
         for i in e.rows:
             out[i] = k

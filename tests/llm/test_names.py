@@ -64,6 +64,21 @@ def test_linking(spark):
     assert not linked_pairs(df.limit(0)).collect()
 
 
+def entities(spark, *rows):
+    """Sets of positions that are linked."""
+    got = link_names(spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(rows)], "name_id long, author string, affiliation string")).collect()
+    return sorted(sorted(r.name_id for r in got if r.entity_id == e) for e in {r.entity_id for r in got})
+
+
+def test_several_spellings_at_another_place(spark):
+    here = [("Kelvado, Francisco R.", "Foo Hospital"), ("F. R. Kelvado", "Foo Hospital"), ("KELVADO, Paco R.", "Foo Hospital")]
+    moved = [("Kelvado FR", "Bar College"), ("Francisco R. Kelvado", "Bar College")]
+    assert entities(spark, *here, *moved) == [[0, 1, 2, 3, 4]]
+    # nothing but the name speaks for it; the letters speak against it; the same spelling twice
+    for a, b in (("Kelvado F", "Francisco Kelvado"), ("Kelvado FS", "Francisco S. Kelvado"), ("F. R. Kelvado", "Francisco R. Kelvado")):
+        assert entities(spark, *here, (a, "Bar College"), (b, "Bar College")) == [[0, 1, 2], [3, 4]]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "???", None), (4, "x" * 5000, ""), (5, "李", None)], "name_id long, author string, affiliation string")
     assert {r.name_id: r.entity_id for r in link_names(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
