@@ -49,6 +49,8 @@ NICKNAMES = {
 P_INITIAL, P_TYPO, P_NICK, P_MISSING, P_MOVED = 0.35, 0.04, 0.05, 0.18, 0.08
 #: Chance that a moved person is seen at one given other place, and weight of being a person of their own.
 P_PLACE, P_OWN = 0.012, 0.0008
+#: Chance that a group name leaves its topic out.
+P_UNNAMED = 0.05
 #: As many letters may stand behind the first by chance.
 LETTERS = 26
 #: A surname so rare may be a misspelling of a more frequent one.
@@ -141,13 +143,17 @@ def deletions(word: str) -> list[str]:
     return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 5 else [word]
 
 
-def _topic_fits(a: list[str], b: list[str]) -> bool:
-    """Topics of group names: equal, or one the initials of the other."""
-    if a == b or not a or not b:
-        return True
-    x, y = "".join(w[0] for w in a), "".join(w[0] for w in b)
+def _topic_likelihood(seen: list[str], own: list[str]) -> float:
+    """P(topic of a group name as seen | the topic as spelt otherwise): unchanged, as initials, misspelt, left out; 0 for another."""
+    if seen == own:
+        return 1 - P_INITIAL - P_TYPO - P_UNNAMED
+    if not seen or not own:
+        return P_UNNAMED
+    x, y = "".join(w[0] for w in seen), "".join(w[0] for w in own)
     short = lambda t, ini: len(t) == 1 and (t[0] == ini or t[0].replace("a", "") == ini.replace("a", "") or t[0] == ini[:1] + "a" + ini[1:])
-    return short(a, y) or short(b, x) or (len(a) == len(b) and all(near(u, v) for u, v in zip(a, b)))
+    if short(seen, y) or short(own, x):
+        return P_INITIAL
+    return P_TYPO if len(seen) == len(own) and all(near(u, v) for u, v in zip(seen, own)) else 0.0
 
 
 class _Entity:
@@ -242,6 +248,36 @@ class _Entity:
         return p
 
 
+class _Group(_Entity):
+    """A candidate organisation; abbreviated types are one type since reading."""
+
+    __slots__ = ("topics",)
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.topics: Counter = Counter()
+
+    def add(self, r: dict) -> None:
+        super().add(r)
+        self.topics[tuple(r["names"])] += 1
+
+    def copy(self) -> _Group:
+        other = super().copy()
+        other.topics = self.topics.copy()
+        return other
+
+    def agreed(self, r: dict) -> float:
+        return 0.0
+
+    def name_likelihood(self, r: dict) -> float:
+        if r["ini"] not in self.letters:
+            return 0.0
+        # the form with most words is the full one; a topic that is unlike it is no variant of this group
+        full = max(self.topics, key=lambda t: (len(t), self.topics[t], t))
+        p = _topic_likelihood(r["names"], list(full))
+        return p * (1.0 if r["surname"] in self.surnames else 0.5)
+
+
 def attribute(rows: list[dict]) -> list[int]:
     """A number for each spelling of one surname; equal numbers are one entity.
 
@@ -309,22 +345,13 @@ def _settle(units: list[list[dict]], total: int, kind: type[_Entity], key: Calla
 
 
 def _attribute_groups(rows: list[dict]) -> list[int]:
-    """The same for group names: telling name, topic and type must fit."""
-    order = sorted(range(len(rows)), key=lambda i: (-len(rows[i]["names"]), rows[i]["author"]))
-    entities: list[list[int]] = []
-    out = [0] * len(rows)
-    for i in order:
-        r = rows[i]
-        for k, members in enumerate(entities):
-            head = rows[members[0]]
-            if head["ini"] == r["ini"] and _topic_fits(head["names"], r["names"]) and all(rows[m]["author"] != r["author"] for m in members):
-                members.append(i)
-                out[i] = k
-                break
-        else:
-            out[i] = len(entities)
-            entities.append([i])
-    return out
+    """The same for group names of one telling name: type, topic and place."""
+    units: dict[tuple, list[dict]] = defaultdict(list)
+    for i, r in enumerate(rows):
+        r["i"], r["first"] = i, ""
+        units[(r["ini"], tuple(r["names"]), r["place"] or f"?{i}")].append(r)
+    order = sorted(units.items(), key=lambda kv: (kv[0][2].startswith("?"), -len(kv[0][1]), -len(kv[1]), kv[0]))
+    return _settle([sorted(group, key=lambda r: r["author"]) for _, group in order], len(rows), _Group, lambda r: r["ini"])
 
 
 def read_names(df: DataFrame) -> DataFrame:

@@ -79,6 +79,15 @@ def test_several_spellings_at_another_place(spark):
         assert entities(spark, *here, (a, "Bar College"), (b, "Bar College")) == [[0, 1, 2], [3, 4]]
 
 
+def test_organisations_of_like_names(spark):
+    x, y = ("X College", "Y Institute")
+    rows = [("Osteria Rural Health Study Group", x), ("Study Group, Osteria Rural Health", x), ("Osteria RH Study Grp", x),
+            ("The Osteria Rural Health Group", y), ("Osteria Rural-Health Study Group", y), ("Osteria RH Group", y), ("Osteria Rural Haelth Study Group", "X COLLEGE, Norland"),
+            ("Osteria Study Group", None), ("Osteria Rural Health Network", x)]
+    got = entities(spark, *rows)
+    assert [0, 1, 2, 6] in [[i for i in e if i != 7] for e in got] and [3, 4, 5] in [[i for i in e if i != 7] for e in got] and [8] in got
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "???", None), (4, "x" * 5000, ""), (5, "李", None)], "name_id long, author string, affiliation string")
     assert {r.name_id: r.entity_id for r in link_names(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
