@@ -53,8 +53,10 @@ P_PLACE, P_OWN = 0.012, 0.0008
 P_UNNAMED = 0.05
 #: As many letters may stand behind the first by chance.
 LETTERS = 26
-#: A surname so rare may be a misspelling of a more frequent one.
+#: Misspellings of any surname in one form that are taken as seen.
 RARE = 2
+#: How much more a row speaks for a misspelling where place and given name, the place, or one of them, or neither agree.
+EVIDENCE = (8.0, 4.0, 2.0, 1.0)
 #: A given name is a misspelling of one that is so many times as frequent.
 COMMON = 8
 
@@ -414,12 +416,13 @@ def corrected_given(names: DataFrame) -> DataFrame:
 def corrected_surnames(names: DataFrame) -> DataFrame:
     """``names`` with ``block``: the surname a row is decided under.
 
-    A surname that at most ``RARE`` spellings have goes to a more frequent one a typing error away if someone there
-    has the same first letter and the place does not speak against it, or the same given name or initials. The
+    A row goes to a more frequent surname a typing error away if someone there has the same first letter and the
+    place does not speak against it, or the same given name or initials, and if no more rows have its own surname
+    than misspellings are to be expected of the other, times what place and given name say (``EVIDENCE``). The
     candidate with the same place, then the best given name, then the most frequent, wins.
     """
     counts = names.groupBy("kind", "surname").agg(F.count("*").alias("n"))
-    pairs = near_words(counts, ["kind"], "surname").where(f"mine <= {RARE}")
+    pairs = near_words(counts, ["kind"], "surname").where(f"mine <= {RARE} + {P_TYPO} * {EVIDENCE[0]} * n")
     letter = F.when(F.col("kind") == "g", F.col("ini")).otherwise(F.lower(F.substring("ini", 1, 1)))
     given = F.when(F.col("kind") == "g", F.col("ini")).when(F.size("names") > 0, F.col("names")[0]).when(F.length("ini") > 1, F.lower("ini"))
     letters = F.when((F.col("kind") == "p") & (F.length("ini") > 1), F.lower("ini"))
@@ -436,7 +439,9 @@ def corrected_surnames(names: DataFrame) -> DataFrame:
     hit = lambda c: F.coalesce(F.col(c), F.lit(0))
     fits = F.when(hit("_same") == 1, 4).when((hit("_some") == 1) & (F.col("place") == ""), 2).when(hit("_named") == 1, 2).when(
         hit("_unknown") == 1, 1).otherwise(0)
-    best = scored.withColumn("_fits", fits).where("_fits > 0").groupBy("name_id").agg(
+    both, place, one, none = map(F.lit, EVIDENCE)
+    speaks = F.when(F.col("_fits") == 4, F.when(hit("_named") == 1, both).otherwise(place)).when(F.col("_fits") == 2, one).otherwise(none)
+    best = scored.withColumn("_fits", fits).where("_fits > 0").where(F.col("mine") <= RARE + P_TYPO * F.col("n") * speaks).groupBy("name_id").agg(
         F.max_by("to", F.struct(F.col("_fits") + hit("_named"), "n", "to")).alias("block"))
     moved = stage(names.join(best, "name_id", "left").withColumn("block", F.coalesce("block", "surname")))
     # where all rows of a surname have moved on, so do those that were sent to it

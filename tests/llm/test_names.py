@@ -88,6 +88,17 @@ def test_organisations_of_like_names(spark):
     assert [0, 1, 2, 6] in [[i for i in e if i != 7] for e in got] and [3, 4, 5] in [[i for i in e if i != 7] for e in got] and [8] in got
 
 
+def test_a_frequent_surname_is_misspelt_often(spark):
+    towns = ["".join(p) for p in itertools.product(("Al", "Bor", "Cas"), ("vin", "mor", "tek", "lun"))]
+    rows = [(a, f"{town} College") for town in towns for a in ("Kelvado, Francisco", "F. Kelvado", "KELVADO, Paco", "Francisco Kelvado")]
+    rows += [("Kelvadoo, Francisco", f"{town} College") for town in towns[:6]]
+    # a surname of its own, as frequent as a near one
+    rows += [(a, f"{town} Hospital") for town in towns[:4] for x in "eo" for a in (f"Hans{x}n, Maria {x}", f"Hans{x}n, M.", f"Maria Hans{x}n")]
+    got = entities(spark, *rows)
+    assert [[4 * k, 4 * k + 1, 4 * k + 2, 4 * k + 3, 48 + k] for k in range(6)] == got[:6]
+    assert all(len({rows[i][0].lower().count("hanson") for i in e}) == 1 for e in got)
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "???", None), (4, "x" * 5000, ""), (5, "李", None)], "name_id long, author string, affiliation string")
     assert {r.name_id: r.entity_id for r in link_names(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
