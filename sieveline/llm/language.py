@@ -164,7 +164,13 @@ def blocks_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def segments(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, float]]]:
     """(language, confidence) of each segment of each text; [] for a text without letters."""
+    return languages(model, texts)[0]
+
+
+def languages(model: LanguageModel, texts: list[str]) -> tuple[list[list[tuple[str, float]]], list[tuple[str, float] | None]]:
+    """(language, confidence) of each segment of each text, and of each text as a whole; [] and None for a text without letters."""
     out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    whole: list[tuple[str, float] | None] = [None] * len(texts)
     tokens, lengths, owners = [], [], []
     for i, t in enumerate(texts):
         w = words_of(t)
@@ -173,7 +179,7 @@ def segments(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, flo
             lengths.append(len(w))
             owners.append(i)
     if not tokens:
-        return out
+        return out, whole
     sizes = np.asarray(lengths)
     scores, flags = model.emissions(tokens)
     starts = sentence_starts(flags, sizes)
@@ -188,8 +194,10 @@ def segments(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, flo
     edges = np.flatnonzero(np.diff(owner, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(owner)]):
         langs, n, s = best[a:b], words[a:b], sums[a:b]
+        total = s.sum(0)
+        most = int(total.argmax())
+        whole[owners[owner[a]]] = (LANGS[most], float(total[most] / n.sum()))
         if (langs == langs[0]).all():
-            total = s.sum(0)
             out[owners[owner[a]]] = [(LANGS[langs[0]], float(total[langs[0]] / n.sum()))]
             continue
         langs = langs.copy()
@@ -204,7 +212,7 @@ def segments(model: LanguageModel, texts: list[str]) -> list[list[tuple[str, flo
             runs.append((LANGS[langs[k]], float(s[k:j, langs[k]].sum() / n[k:j].sum())))
             k = j
         out[owners[owner[a]]] = runs
-    return out
+    return out, whole
 
 
 def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0.4, decay: float = 1e-4) -> LanguageModel:
@@ -303,6 +311,22 @@ def detect(texts: DataFrame, model: LanguageModel) -> DataFrame:
     return texts.mapInPandas(run, "src string, row_id long, label string, seg_no int, lang string, confidence double, segs int")
 
 
+def detect_whole(texts: DataFrame, model: LanguageModel) -> DataFrame:
+    """(src, row_id, label, lang, confidence, segs): one row per text, by the marginals of all its words.
+
+    ``segs`` is the number of its segments. Null, empty and letterless texts have no language, no confidence and 0 segments.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                part = frame.iloc[at : at + CHUNK]
+                got, whole = languages(model, [t or "" for t in part["text"]])
+                yield part[["src", "row_id", "label"]].assign(
+                    lang=[w and w[0] for w in whole], confidence=pd.array([w and w[1] for w in whole], "Float64"), segs=np.asarray([len(g) for g in got], "int32"))
+
+    return texts.mapInPandas(run, "src string, row_id long, label string, lang string, confidence double, segs int")
+
+
 def wrong_labels(found: DataFrame) -> DataFrame:
     """Segments of the rows whose label is missing, names no language or a wrong one, or whose text is mixed."""
     return found.where((F.col("segs") > 1) | ~label_language(F.col("label")).eqNullSafe(F.col("lang")))

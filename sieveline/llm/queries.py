@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.copies import collapse, copy_members, copy_pairs, encoded_fields
 from sieveline.llm.encode import decode_corpus, encode_corpus, token_counts
-from sieveline.llm.language import detect, texts_of, train, training_sample, wrong_labels
+from sieveline.llm.language import detect, detect_whole, texts_of, train, training_sample, wrong_labels
 from sieveline.llm.names import link_names, linked_pairs
 from sieveline.llm import toxicity
 from sieveline.llm.packing import fill_report, pack
@@ -30,6 +30,13 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return detect(texts, train([t for t, _ in sample], [lang for _, lang in sample]))
 
 
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every record and document as a whole."""
+    texts = texts_of(_t(spark, d, "records"), _t(spark, d, "documents"))
+    sample = training_sample(texts)
+    return detect_whole(texts, train([t for t, _ in sample], [lang for _, lang in sample]))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments of the rows with a missing or wrong language label."""
     return wrong_labels(p2_segments(spark, d)).select("src", "row_id", "seg_no", "lang")
@@ -121,6 +128,7 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_segments": p2_segments,
+    "p2_documents": p2_documents,
     "p4_found": p4_found,
     "p4_collapsed": p4_collapsed,
     "p4_with_doi": p4_with_doi,

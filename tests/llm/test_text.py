@@ -123,6 +123,16 @@ def test_frame(spark, model):
     assert not language.detect(texts.limit(0), model).collect()
 
 
+def test_whole_texts(spark, model):
+    en, de = SAMPLE["en"], SAMPLE["de"]
+    documents = spark.createDataFrame([(1, " ".join([*en, de[0]]), "en"), (2, None, "en"), (3, "12. 5!", None), (4, " ".join([*de, en[0]]), None), (5, de[0], "de")], "doc_id long, text string, lang string")
+    records = spark.createDataFrame([(1, "NA", None, None)], "record_id long, title string, abstract string, lang string")
+    got = {(r.src, r.row_id): r for r in language.detect_whole(language.texts_of(records, documents), model).collect()}
+    assert {k: (r.lang, r.segs) for k, r in got.items()} == {
+        ("documents", 1): ("en", 2), ("documents", 2): (None, 0), ("documents", 3): (None, 0), ("documents", 4): ("de", 2), ("documents", 5): ("de", 1), ("records", 1): (None, 0)}
+    assert 0.5 < got["documents", 1].confidence < 0.95 < got["documents", 5].confidence and got["documents", 2].confidence is None
+
+
 # --- toxicity -----------------------------------------------------------------------------
 
 PLAIN = ["The sample of 20 people seems too small.", "We thank the authors for their reply.", "Participants were recruited from 30 clinics.", "The rats were killed by the second dose.",
