@@ -63,18 +63,18 @@ class SemanticClient:
 
     def analyze(self, title: str, abstract: str, topic: str) -> dict[str, Any]:
         return parse_json(self.complete(
-            f"Analyse for the topic {topic!r}.\nTitle: {title}\nAbstract: {abstract[:1000]}\n"
+            f"Analyse for the topic {topic!r}.\nTitle: {title}\nAbstract: {abstract}\n"
             "Reply as JSON: tags (list), summary, relevance_score (0-1), document_type."))
 
     def classify(self, title: str, abstract: str, topic: str) -> dict[str, Any]:
         got = parse_json(self.complete(
-            f"Is this relevant to {topic!r}?\nTitle: {title}\nAbstract: {abstract[:800]}\n"
+            f"Is this relevant to {topic!r}?\nTitle: {title}\nAbstract: {abstract}\n"
             "Reply as JSON: judgment (high, boundary or low), confidence (0-1), reason."))
         return {"judgment": LEVELS.get(got.get("judgment", ""), LEVELS["boundary"]),
                 "confidence": float(got.get("confidence", 0.5)), "reason": str(got.get("reason", ""))}
 
     def classify_batch(self, documents: list[dict[str, str]], topic: str) -> list[dict[str, Any]]:
-        listed = "\n".join(f"[{i}] {d.get('title') or ''}: {(d.get('abstract') or '')[:600]}" for i, d in enumerate(documents))
+        listed = "\n".join(f"[{i}] {d.get('title') or ''}: {d.get('abstract') or ''}" for i, d in enumerate(documents))
         got = parse_json(self.complete(f"Classify each for {topic!r}, as a JSON list of judgment, confidence, reason.\n{listed}"))
         if isinstance(got, dict):
             got = next((got[k] for k in ("results", "documents", "data", "items") if isinstance(got.get(k), list)), [])

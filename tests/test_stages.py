@@ -9,7 +9,7 @@ from sieveline.operators import stats
 from sieveline.operators.dedup import dedup_records
 from sieveline.operators.ranks import average_ranks, rank_filter, rank_score
 from sieveline.operators.review import apply_decisions, batch_review, display_document, undecided_documents
-from sieveline.operators.semantic import MockClient, SemanticError, analyze_documents, classify_documents, generate_rules, parse_json, semantic_client
+from sieveline.operators.semantic import MockClient, SemanticClient, SemanticError, analyze_documents, classify_documents, generate_rules, parse_json, semantic_client
 from sieveline.operators.tfidf import tfidf_scores, tfidf_threshold
 from sieveline.plans.pipeline import screen
 from sieveline.streaming.screening import late_counts, screen_stream
@@ -154,3 +154,17 @@ def test_stream(spark, tmp_path):
         query.awaitTermination(120)
     assert {r.record_id: r.rule_tier for r in spark.table("s").collect()} == {1: "rule_high", 2: "rule_unclear"}
     assert [r.n for r in spark.table("c").collect()] == [2]
+
+
+def test_model_calls_hold_whole_abstracts():
+    class Client(SemanticClient):
+        def complete(self, prompt):
+            seen.append(prompt)
+            return "{}"
+
+    seen, long = [], "word " * 5000 + "the last sentence"
+    client = Client(LLMConfig())
+    client.analyze("t", long, "x")
+    client.classify("t", long, "x")
+    client.classify_batch([{"title": "t", "abstract": long}] * 2, "x")
+    assert [p.count(long) for p in seen] == [1, 1, 2]
