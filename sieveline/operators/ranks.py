@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.operators.joins import join_lookup
 from sieveline.operators.rules import set_judgment, undecided
 from sieveline.session import stage
 
@@ -78,9 +79,10 @@ def rank_filter(df: DataFrame, percentile: float = 25.0) -> DataFrame:
     total = values.agg(F.sum("n").alias("_total"))
     ranks = values.crossJoin(total).crossJoin(threshold).select(  # one row each
         "rank_score", ((F.col("before") + (F.col("n") + 1) / 2) / F.col("_total") * 100).alias("rank_percentile"),
-        F.when(F.col("rank_score") >= F.col("threshold"), "rank_selected").otherwise("rank_unselected").alias("rank_tier"))
-    out = df.drop("rank_percentile", "rank_tier").join(ranks, "rank_score", "left")
-    return out.withColumn("rank_tier", F.coalesce("rank_tier", F.lit("rank_unselected"))).select(
+        (F.col("rank_score") >= F.col("threshold")).alias("_selected"), "n")
+    # one score may be that of most rows: ties are broadcast, the other scores shuffled
+    out = join_lookup(df.drop("rank_percentile", "rank_tier"), ranks, ["rank_score"], how="left")
+    return out.withColumn("rank_tier", F.when(F.col("_selected"), "rank_selected").otherwise("rank_unselected")).select(
         *[c for c in df.columns if c not in ("rank_percentile", "rank_tier")], "rank_percentile", "rank_tier")
 
 

@@ -1,12 +1,19 @@
-"""TF-IDF similarity to seed texts, as a long-format pipeline."""
+"""TF-IDF similarity to seed texts: two narrow passes around a count of terms."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveline.functions.text import text_blob
 from sieveline.operators.rules import set_judgment, undecided
@@ -21,17 +28,10 @@ def stop_words() -> list[str]:
 
 
 def words_of(text: Column, stops: list[str]) -> Column:
-    """array<string>: lower-case words of two or more characters without stop words.
-
-    Stop words are cut out of the text before it is split: a regular expression stays in generated code,
-    a lambda over the words would not.
-    """
-    low = F.lower(text)
-    if stops:
-        edge = r"[\p{L}\p{N}_]"
-        listed = "|".join(sorted({re.escape(w) for w in stops}))
-        low = F.regexp_replace(low, f"(?<!{edge})(?:{listed})(?!{edge})", " ")
-    return F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))
+    """array<string>: lower-case words of two or more characters without stop words (what stands between apostrophes is a word)."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    listed = sorted({w for s in stops for w in re.findall(r"\w{2,}", s.lower())})
+    return F.filter(words, lambda w: ~w.isin(*listed)) if listed else words
 
 
 def _with_pairs(words: str) -> Column:
@@ -40,9 +40,21 @@ def _with_pairs(words: str) -> Column:
     return F.when(F.size(words) > 1, F.concat(F.col(words), pairs)).otherwise(F.col(words))
 
 
-def document_terms(df: DataFrame, key: str, text: Column, stops: list[str]) -> DataFrame:
-    """(key, term): one row per occurrence of each word and word pair."""
-    return df.select(F.col(key), words_of(text, stops).alias("_w")).select(key, F.explode(_with_pairs("_w")).alias("term"))
+def _known_terms(words: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term number, times), sorted, of the words and pairs of neighbours that the vocabulary has."""
+    row, flat = pc.list_parent_indices(words).to_numpy(), words.flatten()
+    pairs = pc.binary_join_element_wise(flat[:-1], flat[1:], " ") if len(flat) > 1 else flat[:0]
+    ids = pa.concat_arrays([pc.index_in(flat, value_set=vocabulary), pc.index_in(pairs, value_set=vocabulary)])
+    known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+    known[len(flat):] &= row[1:] == row[:-1]
+    at = np.concatenate([row, row[:len(pairs)]])[known].astype(np.int64)
+    cells, times = np.unique(at * len(vocabulary) + pc.fill_null(ids, 0).to_numpy()[known], return_counts=True)
+    return cells // max(1, len(vocabulary)), cells % max(1, len(vocabulary)), times
+
+
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
 
 
 def tfidf_scores(df: DataFrame, seeds: list[str], key: str = "record_id", max_features: int = 8000,
@@ -51,32 +63,50 @@ def tfidf_scores(df: DataFrame, seeds: list[str], key: str = "record_id", max_fe
 
     Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1) over the ``max_features`` most frequent terms
     of seeds and rows, ties by term; n counts the seeds. No seeds means "literature review".
-    The vocabulary is bounded by ``max_features`` and therefore broadcast; rows are partitioned by key once,
-    and the term counts, norms and dot products all use that partitioning.
+    Texts are cut into words once. Only the counts of the terms are shuffled; the vocabulary and its weights are
+    bounded by ``max_features`` and go to the tasks, where each row is scored for itself.
     """
     spark = df.sparkSession
     seeds = seeds or ["literature review"]
     stops = stop_words() if stops is None else stops
     text = text_blob(F.col("title"), F.col("abstract"), F.col("keywords"))
-    queries = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "seed long, text string")
-    seed_terms = document_terms(queries, "seed", F.col("text"), stops)
-    row_terms = document_terms(spread(df.select(key, "title", "abstract", "keywords")), key, text, stops)
-    counts = row_terms.select("term").unionByName(seed_terms.select("term")).groupBy("term").agg(F.count("*").alias("freq"))
-    vocabulary = stage(counts.orderBy(F.desc("freq"), "term").limit(max_features).select("term"))
-    kept = stage(row_terms.join(F.broadcast(vocabulary), "term").repartition(key).groupBy(key, "term").agg(
-        F.count("*").alias("tf")))
-    seed_kept = seed_terms.join(F.broadcast(vocabulary), "term").groupBy("seed", "term").agg(F.count("*").alias("tf"))
-    total = df.select(F.count("*").alias("n")).select((F.col("n") + len(seeds)).alias("n"))
-    frequency = kept.select("term").unionByName(seed_kept.select("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = stage(frequency.crossJoin(total).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    weight = (1 + F.ln("tf")) * F.col("idf")
-    seed_weights = seed_kept.join(F.broadcast(idf), "term").select("seed", "term", weight.alias("w"))
-    norms = seed_weights.groupBy("seed").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    direction = seed_weights.join(norms, "seed").groupBy("term").agg((F.sum(F.col("w") / F.col("norm")) / len(seeds)).alias("q"))
-    table = stage(idf.join(direction, "term", "left"))
-    scored = kept.join(F.broadcast(table), "term").select(key, weight.alias("w"), F.coalesce("q", F.lit(0.0)).alias("q")).groupBy(
-        key).agg((F.sum(F.col("w") * F.col("q")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score"))
-    return df.select(key).join(scored, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("tfidf_score"))
+    rows = stage(spread(df.select(key, "title", "abstract", "keywords")).select(key, words_of(text, stops).alias("_w")))
+    queries = spark.createDataFrame([(s,) for s in seeds], "text string").select(words_of(F.col("text"), stops).alias("_w"))
+    counts = rows.select("_w").unionByName(queries).select(F.explode(_with_pairs("_w")).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+    vocabulary = pa.array([r.term for r in counts.orderBy(F.desc("freq"), "term").limit(max_features).collect()], pa.string())
+    field = df.schema[key]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("_w")
+            row, term, times = _known_terms(words, vocabulary)
+            yield pa.RecordBatch.from_arrays([batch.column(key), _lists(row, term, len(words)), _lists(row, times, len(words))], [key, "ids", "tfs"])
+
+    kept = stage(rows.mapInArrow(encode, T.StructType([field, *[T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("ids", "tfs")]])))
+    frequency, n = np.zeros(len(vocabulary)), kept.count() + len(seeds)
+    for r in kept.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).collect():  # a row per term
+        frequency[r.id] = r.n
+    number = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    known = [Counter(number[t] for t in [*r._w, *map(" ".join, zip(r._w, r._w[1:]))] if t in number) for r in queries.collect()]  # noqa: SLF001
+    for counted in known:
+        frequency[list(counted)] += 1
+    idf, direction = np.log((1 + n) / (1 + frequency)) + 1, np.zeros(len(vocabulary))
+    for counted in known:
+        weights = {i: (1 + math.log(tf)) * idf[i] for i, tf in counted.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        for i, w in weights.items():
+            direction[i] += w / norm / len(seeds)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tfs = batch.column("ids"), batch.column("tfs")
+            row, at = pc.list_parent_indices(ids).to_numpy(), ids.flatten().to_numpy()
+            w = (1 + np.log(tfs.flatten().to_numpy())) * idf[at]
+            dot, square = np.bincount(row, w * direction[at], len(batch)), np.bincount(row, w * w, len(batch))
+            got = np.divide(dot, np.sqrt(square), out=np.zeros(len(batch)), where=square > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(got)], [key, "tfidf_score"])
+
+    return kept.mapInArrow(score, T.StructType([field, T.StructField("tfidf_score", T.DoubleType())]))
 
 
 def tfidf_scoring(df: DataFrame, seeds: list[str], key: str = "record_id", max_features: int = 8000,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,15 +12,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "sieveline", master: str | None = None, shuffle_partitions: int = 8,
+def build_session(app: str = "sieveline", master: str | None = None, shuffle_partitions: int | None = None,
                   driver_memory: str = "8g") -> SparkSession:
-    """A session with the settings the operators expect (AQE on, UTC, Arrow)."""
+    """A session with the settings the operators expect (AQE on, UTC, Arrow).
+
+    The number of shuffle partitions is left to the cluster unless it is given (local tests).
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -39,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster[...] is a cluster
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     local = os.path.join(tempfile.gettempdir(), "sieveline-checkpoints")
     os.makedirs(local, exist_ok=True)
@@ -80,14 +85,25 @@ def clean_staged() -> None:
 atexit.register(clean_staged)
 
 
+#: Nodes of a logical plan over a scan that leave its partitions as they are.
+_NARROW = frozenset({"Project", "Filter", "Generate", "SubqueryAlias", "View", "LogicalRelation", "Relation", "DataSourceV2ScanRelation"})
+
+
+def _narrow(node) -> bool:  # noqa: ANN001
+    """Whether a logical plan is a scan with narrow work on it, by its nodes."""
+    if node.getClass().getSimpleName() not in _NARROW:
+        return False
+    children = node.children()
+    return all(_narrow(children.apply(i)) for i in range(children.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition a scan that has fewer splits than there are cores; anything else stays as it is.
 
     A large table has many splits, so this only moves tables of a few small files, before work that is
     heavy on each row. Plans that already shuffle are left alone.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
-    if df.isStreaming or any(x in plan for x in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Distinct", "Limit", "LogicalRDD", "LocalRelation")):
+    if df.isStreaming or not _narrow(df._jdf.queryExecution().optimizedPlan()):  # noqa: SLF001
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
