@@ -6,12 +6,15 @@ what appeared by an optimal bipartite assignment over value sketches, statistics
 and name similarity. A matched pair is a rename; the rest are added or removed fields.
 
 Only profiles are compared: rows are read once, aggregated with map-side combine to
-one row per (file, field), and a file is matched within a task of its own, so a feed
-that holds a third of the rows is no hot group.
+one row per (file, field), and a file is matched for itself. The order of a feed is found over
+ranges of files, so a feed that holds a third of the rows or files is no hot group.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,12 +66,18 @@ def feed_order(log: DataFrame) -> DataFrame:
     """(feed, source_file, before): every parsed file with the one before it in its feed.
 
     A file is in if it was parsed successfully once, whatever else is logged of it; its
-    earliest ``exported_at`` counts and ties go by file name.
+    earliest ``exported_at`` counts and ties go by file name. A file without a feed has none before it.
     """
+    keys = ["feed", "exported_at", "source_file"]
     files = log.where((F.col("status") == "success") & F.col("source_file").isNotNull()).groupBy("feed", "source_file").agg(
         F.min("exported_at").alias("exported_at"))
-    order = Window.partitionBy("feed").orderBy("exported_at", "source_file")
-    return files.withColumn("before", F.lag("source_file").over(order)).select("feed", "source_file", "before")
+    ranged = stage(files.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    file = F.struct("feed", "source_file")
+    lasts = ranged.groupBy("_part").agg(F.max_by(file, F.struct(*keys)).alias("_last")).select(
+        "_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))  # a row per range
+    prior = F.coalesce(F.lag(file).over(Window.partitionBy("_part").orderBy(*keys)), "_last")
+    placed = ranged.join(F.broadcast(lasts), "_part").withColumn("_prior", prior)
+    return placed.select("feed", "source_file", F.when(F.col("_prior.feed") == F.col("feed"), F.col("_prior.source_file")).alias("before"))
 
 
 def field_profiles(values: DataFrame) -> DataFrame:
@@ -164,30 +173,48 @@ def assign(score: np.ndarray) -> list[tuple[int, int]]:
     return [(b, a) for a, b in pairs] if flip else pairs
 
 
-def _similar(x: pd.Series, y: pd.Series) -> float:
-    """0..1 of two profiles, of names that are no two fields of one file elsewhere."""
-    sketch = float(_dense(x["sketch"]) @ _dense(y["sketch"]))
-    stats = 1 - min(1.0, 2.2 * float(np.mean([abs((x[c] or 0) - (y[c] or 0)) for c in _STATS[:-1]])))
-    kinds = 1.0 if set(x["kinds"]) & set(y["kinds"]) else 0.4
-    name = name_similarity(x["field"], y["field"])
-    return (0.42 * sketch + 0.38 * stats + 0.20 * name) * (0.85 + 0.15 * kinds) - (0.25 if x["together"] else 0)
+def _similarities(old: list[dict], new: list[dict]) -> np.ndarray:
+    """0..1 of each two profiles; less for names that are two fields of one file elsewhere."""
+    sketch = np.stack([_dense(x["sketch"]) for x in old]) @ np.stack([_dense(y["sketch"]) for y in new]).T
+    number = lambda rows: np.asarray([[x[c] or 0 for c in _STATS[:-1]] for x in rows], float)
+    stats = 1 - np.minimum(1.0, 2.2 * np.abs(number(old)[:, None] - number(new)[None]).mean(2))
+    kinds = np.asarray([[1.0 if set(x["kinds"]) & set(y["kinds"]) else 0.4 for y in new] for x in old])
+    names = np.asarray([[name_similarity(x["field"], y["field"]) for y in new] for x in old])
+    together = np.asarray([[y["field"] in x["others"] for y in new] for x in ({**x, "others": set(x["others"])} for x in old)])
+    return (0.42 * sketch + 0.38 * stats + 0.20 * names) * (0.85 + 0.15 * kinds) - 0.25 * together
 
 
-def _match_file(group: pd.DataFrame) -> pd.DataFrame:
-    old, new = group[group["side"] == "old"].reset_index(drop=True), group[group["side"] == "new"].reset_index(drop=True)
+def _match_file(rows: list[dict]) -> list[tuple[str, str, str, str, float]]:
+    """The changes of one file, of its fields that are not in the one before (``new``) and the other way round (``old``)."""
+    old, new = [r for r in rows if r["side"] == "old"], [r for r in rows if r["side"] == "new"]
     gone, came, out = set(range(len(old))), set(range(len(new))), []
     if gone and came:
-        score = np.array([[_similar(a | {"together": b["field"] in set(a["others"])}, b)
-                           for b in new.to_dict("records")] for a in old.to_dict("records")])
+        score = _similarities(old, new)
         for i, j in assign(np.where(score >= RENAME_AT, score, -1.0)):
             if score[i, j] >= RENAME_AT:
-                out.append(("renamed", old["field"][i], new["field"][j], float(score[i, j])))
+                out.append(("renamed", old[i]["field"], new[j]["field"], float(score[i, j])))
                 gone.discard(i)
                 came.discard(j)
-    out += [("removed", old["field"][i], "", 0.0) for i in sorted(gone)] + [("added", "", new["field"][j], 0.0) for j in sorted(came)]
-    result = pd.DataFrame(out, columns=["change_kind", "old_name", "new_name", "similarity"])
-    result.insert(0, "source_file", group["source_file"].iloc[0])
-    return result
+    out += [("removed", old[i]["field"], "", 0.0) for i in sorted(gone)] + [("added", "", new[j]["field"], 0.0) for j in sorted(came)]
+    return [(rows[0]["source_file"], *o) for o in out]
+
+
+_CHANGE = ["source_file", "change_kind", "old_name", "new_name", "similarity"]
+
+
+def _match_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_match_file`` of each file of a sorted partition."""
+    rows: list[dict] = []
+    for frame in frames:
+        out = []
+        for r in frame.to_dict("records"):
+            if rows and rows[0]["source_file"] != r["source_file"]:
+                out += _match_file(rows)
+                rows = []
+            rows.append(r)
+        yield pd.DataFrame(out, columns=_CHANGE)
+    if rows:
+        yield pd.DataFrame(_match_file(rows), columns=_CHANGE)
 
 
 def schema_changes(rows: DataFrame, log: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -224,13 +251,18 @@ def schema_changes(rows: DataFrame, log: DataFrame, values: DataFrame | None = N
         .join(others, "field", "left")
         .select("source_file", "side", "field", "kinds", *_STATS, "sketch", F.coalesce("others", F.array().cast("array<string>")).alias("others"))
     )
-    matched = sides.groupBy("source_file").applyInPandas(
-        _match_file, "source_file string, change_kind string, old_name string, new_name string, similarity double")
+    # matching is work on few bytes: spread over all cores, whatever the size, and walked file by file
+    parts = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    matched = sides.repartition(max(parts, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "source_file").sortWithinPartitions(
+        "source_file", "side", "field").mapInPandas(_match_files, "source_file string, change_kind string, old_name string, new_name string, similarity double")
     return matched.unionByName(retyped)
 
 
 def _canonical(group: pd.DataFrame) -> pd.DataFrame:
-    """One canonical name for each set of names that renames connect within a feed."""
+    """One canonical name for each set of names that renames connect within a feed.
+
+    A name with a known alias keeps it; the others take the alias that most names of their set have.
+    """
     from sieveline.sources.load import ALIASES
 
     parent: dict[str, str] = {}
@@ -248,8 +280,9 @@ def _canonical(group: pd.DataFrame) -> pd.DataFrame:
         sets.setdefault(root(name), []).append(name)
     out = []
     for names in sets.values():
-        known = sorted({ALIASES[n] for n in names if n in ALIASES})
-        out += [(n, known[0] if known else min(names)) for n in names]
+        known = Counter(ALIASES[n] for n in names if n in ALIASES)
+        common = min(known, key=lambda c: (-known[c], c)) if known else min(names)
+        out += [(n, ALIASES.get(n, common)) for n in names]
     result = pd.DataFrame(out, columns=["field", "canonical"])
     result.insert(0, "feed", group["feed"].iloc[0])
     return result
@@ -258,10 +291,10 @@ def _canonical(group: pd.DataFrame) -> pd.DataFrame:
 def unified_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
     """(row_id, source_file, feed, the canonical columns, extra): every row in one schema.
 
-    A field's canonical name is that of the names its renames connect it with in the feed, else its
-    known alias, else itself. Fields without a canonical column are kept in the map ``extra``. Where a
-    row has two names of one column, the first non-empty value by name wins. Rows whose payload can't be
-    read come out with null columns, so no row is lost; a file that no log names has a null feed.
+    A field's canonical name is its known alias, else that of the names its renames connect it with in the
+    feed, else itself. Fields without a canonical column are kept in the map ``extra``. Where a row has two
+    names of one column, the first non-empty value by name wins and the others are kept in ``extra``, as are
+    further values of one name (``name  #2``: no name has two spaces). Rows whose payload can't be read come out with null columns, so no row is lost; a file that no log names has a null feed.
     """
     from sieveline.sources.load import ALIASES, STANDARD
 
@@ -275,9 +308,13 @@ def unified_rows(rows: DataFrame, log: DataFrame) -> DataFrame:
         "canonical", F.coalesce("canonical", aliases[F.col("field")], "field"))
     columns = [c for c in STANDARD if c not in ("source_file", "source_format")]
     filled = F.col("text").isNotNull() & (F.trim("text") != "")
-    wide = named.groupBy("row_id").agg(
-        *[F.min_by(F.when(filled & (F.col("canonical") == c), F.col("text")),
-                   F.when(filled & (F.col("canonical") == c), F.col("field"))).alias(c) for c in columns],
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(filled & ~F.col("canonical").isin(columns), F.struct("field", "text"))))).alias("extra"))
+    cells = named.where(filled).groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("canonical", "field", "text"))).alias("_cells"))
+    first = lambda c: F.get(F.filter("_cells", lambda x: x["canonical"] == c), F.lit(0))["text"]
+    rest = F.filter("_cells", lambda x, i: ~x["canonical"].isin(columns) | (
+        (i > 0) & (F.get("_cells", i - 1)["canonical"] == x["canonical"])))
+    again = lambda x, i: F.size(F.filter(F.slice("_rest", 1, i), lambda y: y["field"] == x["field"])) + 1
+    named_once = F.transform("_rest", lambda x, i: F.struct(F.when(again(x, i) > 1, F.concat(x["field"], F.lit("  #"), again(x, i).cast("string"))).otherwise(
+        x["field"]).alias("field"), x["text"].alias("text")))
+    wide = cells.withColumn("_rest", rest).select("row_id", *[first(c).alias(c) for c in columns], F.map_from_entries(named_once).alias("extra"))
     base = rows.select("row_id", "source_file").join(feeds, "source_file", "left")
     return base.join(wide, "row_id", "left").select("row_id", "source_file", "feed", *columns, F.to_json("extra").alias("extra"))

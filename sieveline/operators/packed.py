@@ -19,12 +19,16 @@ choice fail and the text is read as ``bare``. Separator classes, strongest first
 ``; ； |`` and line breaks together; then ``， 、 ,``; then ``/`` with spaces; then ``/``.
 For person names a comma may also stand inside a name, so the comma class has a
 grammar of its own (``_names``), and ``and``/``&`` separate too.
+
+``bracketed`` is memoised for every position of the field, and no rule looks further than the
+next separator from where it stands: the time is linear in the length of the field.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +50,9 @@ _SPACE = re.compile(r"\s+")
 _QUOTED = re.compile(r'"((?:""|\\.|[^"\\])*)"', re.S)
 _SPECIAL = re.compile(r'["()\[\]{}&]')
 _COMMA_SPLIT = re.compile(r"(?<!\d),|,(?!\d)|[，、]")
+_COMMAS = re.compile(r"[,，、]")
+_NAME_ENDS = re.compile(r"[,，、]|\s(?:&|and)\s")
+_SURNAME = re.compile(r"\S+[,，、]")
 #: The separator classes where nothing in the text is quoted or bracketed.
 _SPLIT = {_STRONG: re.compile(f"[{_STRONG}]"), _COMMA: _COMMA_SPLIT, _SLASH: re.compile("/"),
           _SPACED_SLASH: re.compile(r"(?<=\s)/(?=\s)|/\s*$")}
@@ -70,6 +77,8 @@ class _Scan:
 
     def __init__(self, text: str, seps: str) -> None:
         self.text, self.seps, self.errors = text, seps, 0
+        self.last = len(text.rstrip()) - 1
+        self.closed: dict[int, int] | None = None
 
     def at(self, i: int) -> int:
         """Length of the separator at ``i``, 0 for none."""
@@ -78,7 +87,7 @@ class _Scan:
             return 0
         if ch == "," and 0 < i < len(text) - 1 and text[i - 1].isdigit() and text[i + 1].isdigit():
             return 0  # 1,2-propanediol
-        if self.seps is _SPACED_SLASH and text[i + 1 :].strip() and not (text[i - 1 : i].isspace() and text[i + 1].isspace()):
+        if self.seps is _SPACED_SLASH and i < self.last and not (text[i - 1 : i].isspace() and text[i + 1].isspace()):
             return 0
         return ch != " "
 
@@ -95,18 +104,17 @@ class _Scan:
         return re.sub(r'""|\\(["\\])', lambda x: x[1] or '"', m[1]), j
 
     def bracketed(self, i: int) -> int | None:
-        stack, j, n = [], i, len(self.text)
-        while j < n:
-            ch = self.text[j]
-            if ch in _CLOSERS:
-                stack.append(_CLOSERS[ch])
-            elif stack and ch == stack[-1]:
-                stack.pop()
-                if not stack:
-                    return j + 1
-            j += 1
-        self.errors |= UNCLOSED_BRACKET
-        return None
+        """End of the bracket that opens at ``i``; all brackets of the text are matched in one pass."""
+        if self.closed is None:
+            self.closed, stack = {}, []
+            for j, ch in enumerate(self.text):
+                if ch in _CLOSERS:
+                    stack.append((_CLOSERS[ch], j))
+                elif stack and ch == stack[-1][0]:
+                    self.closed[stack.pop()[1]] = j + 1
+        if i not in self.closed:
+            self.errors |= UNCLOSED_BRACKET
+        return self.closed.get(i)
 
     def bare(self, i: int) -> tuple[str, int]:
         start, n = i, len(self.text)
@@ -170,18 +178,28 @@ def _given(piece: str) -> bool:
 def _join_breaks(text: str) -> list[str]:
     """Split at ``and``/``&`` unless the conjunction stands inside the name of a group."""
     out, start = [], 0
+    commas = [m.start() for m in _COMMAS.finditer(text)]
+    spaces = [m.end() for m in _SPACE.finditer(text)]
+    of_group: dict[int, bool] = {}  # whether the piece that ends at a comma is filled with words of group names
     for m in _AND.finditer(text):
-        left = re.split(r"[,，、]", text[start:m.start()])[-1].split()
-        right = re.split(r"[,，、]|\s(?:&|and)\s", text[m.end():])[0].split()
+        k = bisect_left(commas, m.start()) - 1  # the last comma in front
+        own = k >= 0 and commas[k] >= start
+        word = max(start, commas[k] + 1 if own else 0, spaces[w] if (w := bisect_left(spaces, m.start() + 1) - 1) >= 0 else 0)
+        left = text[word:m.start()].strip(".").lower()
+        until = _NAME_ENDS.search(text, m.end())
+        right = text[m.end():until.start() if until else len(text)].split()
         low = [w.strip(".").lower() for w in right]
         plain = sum(w not in _GROUP_WORDS for w in low)
-        ends = bool(left) and (left[-1].strip(".").lower() in _GROUP_WORDS or _is_initials(left[-1]))
-        if left and plain < len(low) and plain == 1 and not ends:
+        ends = left in _GROUP_WORDS or _is_initials(text[word:m.start()])
+        if word < m.start() and plain < len(low) and plain == 1 and not ends:
             continue  # "... Pain & Mobility Study Group"
-        before = re.split(r"[,，、]", text[start:m.start()])[-2:-1]
-        surname = re.match(r"\S+[,，、]", text[m.end():])
-        if len(right) == 1 and not surname and before and before[0].strip() and all(w.strip(".").lower() in _GROUP_WORDS for w in before[0].split()):
-            continue  # "Study Group, ... Pain & Mobility"
+        if len(right) == 1 and own and not _SURNAME.match(text, m.end()):
+            first = max(start, commas[k - 1] + 1 if k else 0)
+            if first not in of_group:
+                words = text[first:commas[k]].split()
+                of_group[first] = bool(words) and all(w.strip(".").lower() in _GROUP_WORDS for w in words)
+            if of_group[first]:
+                continue  # "Study Group, ... Pain & Mobility"
         out.append(text[start:m.start()])
         start = m.end()
     return [*out, text[start:]]
@@ -225,7 +243,7 @@ def parse_field(text: str | None, kind: str = "terms") -> list[tuple[str, int]]:
             got = json.loads(body)
             if isinstance(got, list) and all(isinstance(x, str | int | float | None) for x in got):
                 return [(v, 0) for v in (_clean(str(x)) for x in got if x is not None) if v]
-        except ValueError:
+        except (ValueError, RecursionError):
             errors |= BROKEN_JSON
             if body[-1] == "]" and '"' in body:
                 body = body[1:-1]

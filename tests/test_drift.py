@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveline.operators.drift import assign, name_similarity, schema_changes, unified_rows
+from sieveline.operators.drift import assign, feed_order, name_similarity, schema_changes, unified_rows
 
 ROWS = "row_id long, source_file string, payload string"
 LOG = "source_file string, status string, feed string, exported_at timestamp"
@@ -60,6 +60,36 @@ def test_unified_keeps_every_row(spark):
     assert (got[3].title, got[3].doi) == ("T2", "10.1/b") and got[1].title is None
 
 
+def test_unified_loses_no_value(spark):
+    rows, log = tables(spark, [("a", [{"AU": "Smith, A", "AF": "Smith, Alice"}, '{"x": "1", "X ": "2", "author": "B"}'])])
+    got = {r.row_id: r for r in unified_rows(rows, log).collect()}
+    assert (got[0].author, got[0].extra) == ("Smith, Alice", '{"au":"Smith, A"}')
+    assert (got[1].author, json.loads(got[1].extra)) == ("B", {"x": "1", "x  #2": "2"})
+
+
+def test_a_known_name_keeps_its_column():
+    import pandas as pd
+
+    from sieveline.operators.drift import _canonical
+
+    got = _canonical(pd.DataFrame({"feed": "f", "old_name": ["ti", "heading", "heading"], "new_name": ["heading", "ab", "t1"]}))
+    assert dict(zip(got["field"], got["canonical"])) == {"ti": "title", "heading": "title", "ab": "abstract", "t1": "title"}
+
+
+def test_files_without_a_feed_are_unrelated(spark):
+    rows, log = tables(spark, [("a", [{"x": 1}]), ("b", [{"y": "z"}])])
+    assert not schema_changes(rows, log.selectExpr("source_file", "status", "cast(null as string) feed", "exported_at")).collect()
+
+
+def test_order_over_ranges_of_files(spark):
+    log = spark.createDataFrame([(f"s{i:03d}", "success", "big" if i % 3 else f"f{i % 7}", i) for i in range(200)], "source_file string, status string, feed string, i int")
+    got = {r.source_file: r.before for r in feed_order(log.selectExpr("*", "timestamp_seconds(1000 - i) exported_at")).collect()}
+    want, last = {}, {}
+    for r in sorted(log.collect(), key=lambda r: -r.i):
+        want[r.source_file], last[r.feed] = last.get(r.feed), r.source_file
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5), st.integers(1, 5), st.integers(0, 10_000))
 def test_assignment_is_optimal(n, m, seed):

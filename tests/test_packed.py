@@ -1,3 +1,5 @@
+import time
+
 import json
 
 import pytest
@@ -81,3 +83,11 @@ def test_frame(spark):
         (1, "author", 1, "Doe, A."), (1, "author", 2, "Roe, B."), (1, "keywords", 1, "x"), (1, "keywords", 1, "x"), (1, "keywords", 2, "y")]
     assert [len(g[3]) for g in got if g[0] == 3] == [199_999]
     assert not split_packed(df.limit(0), "record_id", {"author": "names"}).collect()
+
+
+@pytest.mark.parametrize("unit", ["(", '"', "a and ", "/", "/ ", '"a;', "[", "Pain & Mobility Study Group ", "Study Group, Pain & ", "[[1],"])
+@pytest.mark.parametrize("kind", ["names", "terms"])
+def test_long_fields_take_linear_time(unit, kind):
+    began = time.time()
+    parse_field((unit * 100_000)[:100_000], kind)
+    assert time.time() - began < 2
