@@ -3,6 +3,10 @@
 Every distinct value of a column is canonicalised once and gets an integer; records become
 sorted tuples of (field, integer), and equal tuples are copies. Text is shuffled once per
 distinct value and task, records only as integers.
+
+The integer of a value is the 64-bit hash of its canonical form, so that no numbering has to be
+joined to the values. Tuples have two integers: two publications could only be taken for one if
+both collide, of n distinct pairs with a chance of n² / 2^129 (10^10 pairs: 10^-19).
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import author_key, doi_key, join_lookup, title_key
+from sieveline.llm.common import author_key, doi_key, title_key
+from sieveline.operators.joins import digest, join_lookup
 from sieveline.session import stage
 
 TITLE, DOI, AUTHOR = 0, 1, 2
@@ -24,7 +29,8 @@ def _canonical() -> Column:
 def encoded_fields(records: DataFrame, authors_for_all: bool = False) -> DataFrame:
     """(record_id, title, doi, author): integer of each field, null where there is no usable value.
 
-    Author integers are only made where the DOI can't tell, unless ``authors_for_all``.
+    Author integers are only made where the DOI can't tell, unless ``authors_for_all``. Records without any
+    usable value have no row.
     """
     doi = doi_key(F.col("doi"))
     fields = F.array(
@@ -34,12 +40,12 @@ def encoded_fields(records: DataFrame, authors_for_all: bool = False) -> DataFra
     )
     values = records.select("record_id", F.explode(fields).alias("f")).select("record_id", "f.field", "f.raw").where(
         F.col("raw").isNotNull())
+    key = [digest(F.col("raw")).alias("_h1"), digest(F.col("raw"), 1).alias("_h2")]
     distinct = values.groupBy("field", "raw").agg(F.count("*").alias("n"))
     people = distinct.where(F.col("field") == AUTHOR).withColumn("canon", author_key("raw"))
-    canon = stage(distinct.where(F.col("field") != AUTHOR).withColumn("canon", _canonical()).unionByName(people).where("canon != ''"))
-    codes = stage(canon.select("field", "canon").distinct().withColumn("code", F.monotonically_increasing_id()))
-    lookup = canon.join(codes, ["field", "canon"]).select("field", "raw", "n", "code")
-    coded = join_lookup(values, lookup, ["field", "raw"])
+    canon = distinct.where(F.col("field") != AUTHOR).withColumn("canon", _canonical()).unionByName(people).where("canon != ''")
+    dictionary = stage(canon.select("field", *key, "n", F.xxhash64("canon").alias("code")))
+    coded = join_lookup(values.select("record_id", "field", *key), dictionary, ["field", "_h1", "_h2"])
     pick = lambda k: F.max(F.when(F.col("field") == k, F.col("code")))
     return coded.groupBy("record_id").agg(pick(TITLE).alias("title"), pick(DOI).alias("doi"), pick(AUTHOR).alias("author"))
 
@@ -76,8 +82,9 @@ def collapse(records: DataFrame) -> DataFrame:
 def copy_members(records: DataFrame) -> DataFrame:
     """(group_id, record_id) of every group of two or more."""
     tuples = stage(record_tuples(records))
-    groups = copy_groups(tuples).where("copies > 1")
-    return tuples.join(groups, "tuple").select("group_id", "record_id")
+    parts = [F.col("tuple")[0]["code"].alias("_title"), F.col("tuple")[1]["field"].alias("_field"), F.col("tuple")[1]["code"].alias("_code")]
+    groups = stage(copy_groups(tuples).where("copies > 1").select(*parts, "group_id", "copies"))
+    return join_lookup(tuples.select("record_id", *parts), groups, ["_title", "_field", "_code"], weight="copies").select("group_id", "record_id")
 
 
 def copy_pairs(records: DataFrame) -> DataFrame:
