@@ -7,8 +7,12 @@ candidate of greatest posterior (frequency prior times the likelihoods of what m
 happened), or stands alone if nothing explains it better than a person of its own.
 
 Candidates for a misspelt surname are found by shared one-deletion forms, never by comparing
-all surnames. What is decided together are the spellings of one surname; the decision takes
-time proportional to their number, times the few entities of that surname.
+all surnames. What is decided together are the spellings of one surname and first letter (or
+type of organisation). A spelling is weighed against the candidates at its place, those that
+share its given name and letters, and the few that have enough of the surname's frequency to be
+likelier than a person of its own; no other can win. So the time is near linear in the spellings.
+
+Names of any script are read. A name in ideographs is its first sign as surname, the rest given.
 """
 
 from __future__ import annotations
@@ -17,12 +21,15 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.operators.joins import digest, join_lookup
+from sieveline.operators.packed import split_packed
 from sieveline.session import stage
 
 # Particles, words of group names, words every affiliation may have, and usual short forms of given names.
@@ -45,20 +52,40 @@ NICKNAMES = {
     "jenny": "jennifer", "vicky": "victoria", "lena": "helena", "juergen": "jurgen", "soeren": "soren", "aasa": "asa", "annmarie": "annemarie", "jossi": "yusuf", "inge": "ingrid",
 }
 
-#: Chances that the channel does something to a name, measured on no data: order of magnitude is what counts.
-P_INITIAL, P_TYPO, P_NICK, P_MISSING, P_MOVED = 0.35, 0.04, 0.05, 0.18, 0.08
-#: Chance that a moved person is seen at one given other place, and weight of being a person of their own.
-P_PLACE, P_OWN = 0.012, 0.0008
-#: Chance that a group name leaves its topic out.
-P_UNNAMED = 0.05
+
+
+@dataclass(frozen=True)
+class Rates:
+    """Chances that the channel does something to a name.
+
+    ``initial``, ``missing`` and ``typo`` are measured on the table (``measured_rates``), drawn to these values by
+    ``SEEN`` rows. No count tells a move from a namesake, nor a topic left out from another group: ``moved``,
+    ``place`` (being seen at one given other place), ``own`` (weight of an entity of its own) and ``unnamed`` are fixed.
+    """
+
+    initial: float = 0.35
+    typo: float = 0.04
+    missing: float = 0.18
+    moved: float = 0.08
+    place: float = 0.012
+    own: float = 0.0008
+    unnamed: float = 0.05
+
+
+#: Rows that are taken as seen with the fixed rates.
+SEEN = 500.0
 #: As many letters may stand behind the first by chance.
 LETTERS = 26
-#: Misspellings of any surname in one form that are taken as seen.
-RARE = 2
-#: How much more a row speaks for a misspelling where place and given name, the place, or one of them, or neither agree.
-EVIDENCE = (8.0, 4.0, 2.0, 1.0)
+#: Misspellings of any surname in one form that are taken as seen, before its frequency tells more: where place and given
+#: name, the place, one of them, or neither agree; and how much more a row speaks for a misspelling there.
+TAKEN, EVIDENCE = (4.0, 2.0, 2.0, 2.0), (8.0, 4.0, 2.0, 1.0)
 #: A given name is a misspelling of one that is so many times as frequent.
 COMMON = 8
+#: In a word of fewer letters only a swap is likelier a misspelling than another word: each has others one letter away.
+TELLING = 5
+
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_IDEOGRAPH = re.compile(r"[㐀-鿿豈-﫿가-힣々]+")
 
 
 def fold(text: str) -> str:
@@ -87,12 +114,16 @@ def read_name(name: str) -> tuple[str, str, list[str], list[str]]:
         rest = [x for w in plain if w not in GROUP_TYPES and w not in ("the", "and") for x in w.split("-") if x != "and"]
         return "g", rest[0] if rest else "", rest[1:], sorted(kinds)
     raw = [w for w in re.split(r"\s+", name.strip()) if w]
+    signs = [w for w in re.split(r"[\s,，·]+", name) if w]
+    if signs and all(_IDEOGRAPH.fullmatch(w) for w in signs):
+        surname, given = (signs[0], "".join(signs[1:])) if len(signs) > 1 else (signs[0][:1], signs[0][1:])
+        return "p", surname, [given] if given else [], [given[0]] if given else []
     if "," in name:
         left, right = name.split(",", 1)
         parts = left.split()
         # a short lower-case word in front is a particle even if misspelt
         kept = [w for i, w in enumerate(parts) if not (fold(w) in PARTICLES or i < len(parts) - 1 and w.islower() and len(w) <= 3)]
-        surname = "".join(re.findall(r"[a-z]+", fold("".join(kept) or left)))
+        surname = fold("".join(kept) or left)
         given = right.split()
     else:
         def initials(w: str) -> bool:
@@ -100,14 +131,14 @@ def read_name(name: str) -> tuple[str, str, list[str], list[str]]:
 
         full = [i for i, w in enumerate(raw) if not initials(w) and fold(w) not in PARTICLES and not (w.islower() and len(w) <= 3)]
         if not full:
-            return "p", re.sub(r"[^a-z]", "", fold(name)), [], []
+            return "p", _NO_LETTER.sub("", fold(name)), [], []
         # "J. Surname", "Given M. Surname", "Surname J", "Surname Given": the last is told from "Given Surname" later
         at = full[-1] if initials(raw[0]) or len(full) == 1 or not initials(raw[-1]) else full[0]
         surname = fold(raw[at])
         given = [w for i, w in enumerate(raw) if i != at and not (w.islower() and (fold(w) in PARTICLES or len(w) <= 3))]
     names, letters = [], []
     for w in given:
-        bare = re.sub(r"[^a-z-]", "", fold(w))
+        bare = re.sub(r"[^\w-]|[\d_]", "", fold(w))
         if not bare.strip("-") or bare in PARTICLES and w.islower():
             continue
         # letters behind a hyphen are upper case: they may be left out
@@ -117,7 +148,7 @@ def read_name(name: str) -> tuple[str, str, list[str], list[str]]:
         else:
             names.append(bare.replace("-", ""))
             letters += [p[0].upper() if j else p[0] for j, p in enumerate(x for x in bare.split("-") if x)]
-    return "p", re.sub(r"[^a-z]", "", surname), names, letters
+    return "p", _NO_LETTER.sub("", surname), names, letters
 
 
 def near(a: str, b: str) -> bool:
@@ -136,68 +167,77 @@ def near(a: str, b: str) -> bool:
 
 def same_letters(a: str, b: str) -> bool:
     """Whether initials agree as far as both go; an upper-case letter is one behind a hyphen and may be missing."""
-    forms = lambda x: {x.lower(), "".join(c for c in x if c.islower())}
+    forms = lambda x: {x.lower(), "".join(c for c in x if not c.isupper())}
     return any(u.startswith(v) or v.startswith(u) for u in forms(a) for v in forms(b))
 
 
+def misspelt(a: str, b: str) -> bool:
+    """``near``, and likelier a misspelling than another word."""
+    return near(a, b) and (max(len(a), len(b)) >= TELLING or sorted(a) == sorted(b))
+
+
 def deletions(word: str) -> list[str]:
     """The word and all it gives by one deletion: two words one error apart share one of these."""
-    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}) if len(word) >= 5 else [word]
+    return sorted({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
 
 
-def _topic_likelihood(seen: list[str], own: list[str]) -> float:
+def _topic_likelihood(seen: list[str], own: list[str], rates: Rates) -> float:
     """P(topic of a group name as seen | the topic as spelt otherwise): unchanged, as initials, misspelt, left out; 0 for another."""
     if seen == own:
-        return 1 - P_INITIAL - P_TYPO - P_UNNAMED
+        return 1 - rates.initial - rates.typo - rates.unnamed
     if not seen or not own:
-        return P_UNNAMED
+        return rates.unnamed
     x, y = "".join(w[0] for w in seen), "".join(w[0] for w in own)
     short = lambda t, ini: len(t) == 1 and (t[0] == ini or t[0].replace("a", "") == ini.replace("a", "") or t[0] == ini[:1] + "a" + ini[1:])
     if short(seen, y) or short(own, x):
-        return P_INITIAL
-    return P_TYPO if len(seen) == len(own) and all(near(u, v) for u, v in zip(seen, own)) else 0.0
+        return rates.initial
+    return rates.typo if len(seen) == len(own) and all(near(u, v) for u, v in zip(seen, own)) else 0.0
 
 
 class _Entity:
-    """A candidate: the forms attributed to it so far."""
+    """A candidate: the forms attributed to it so far; ``n`` is their frequency."""
 
-    __slots__ = ("given", "letters", "places", "spellings", "n", "rows", "surnames")
+    __slots__ = ("rates", "given", "letters", "places", "spellings", "n", "rows", "surnames", "longest")
 
-    def __init__(self) -> None:
+    def __init__(self, rates: Rates) -> None:
+        self.rates = rates
         self.given: Counter = Counter()
         self.letters: Counter = Counter()
         self.places: Counter = Counter()
         self.surnames: Counter = Counter()
         self.spellings: set[str] = set()
-        self.n = 0
+        self.n = 0.0
         self.rows: list[int] = []
+        self.longest = ""
 
     def add(self, r: dict) -> None:
-        self.n += 1
+        self.n += r["weight"]
         self.rows.append(r["i"])
         self.spellings.add(r["author"])
         self.surnames[r["surname"]] += 1
         if r["names"]:
             self.given[r["first"]] += 1
         self.letters[r["ini"]] += 1
+        if len(r["ini"]) > len(self.longest):
+            self.longest = r["ini"]
         if r["place"]:
             self.places[r["place"]] += 1
 
     def copy(self) -> _Entity:
-        other = type(self)()
+        other = type(self)(self.rates)
         for name in ("given", "letters", "places", "surnames", "spellings"):
             setattr(other, name, getattr(self, name).copy())
-        other.n = self.n
+        other.n, other.longest = self.n, self.longest
         return other
 
     def likelihood(self, r: dict) -> float:
         """P(spelling, place | entity); 0 for the impossible. One entity has a spelling once."""
         p = 0.0 if r["author"] in self.spellings else self.name_likelihood(r)
         if not p or not r["place"]:
-            return p * P_MISSING
+            return p * self.rates.missing
         if r["place"] in self.places:
-            return p * (1 - P_MISSING - P_MOVED) * (self.places[r["place"]] / sum(self.places.values()))
-        return p * P_MOVED * P_PLACE if self.places else p * 0.1
+            return p * (1 - self.rates.missing - self.rates.moved) * (self.places[r["place"]] / sum(self.places.values()))
+        return p * self.rates.moved * self.rates.place if self.places else p * 0.1
 
     def joint(self, group: list[dict]) -> float:
         """Log-likelihood of spellings of one place against that a new entity is at that place; -inf for the impossible.
@@ -210,7 +250,7 @@ class _Entity:
             if not like:
                 return -math.inf
             if r["place"] and r["place"] not in self.places:
-                like = like / P_PLACE if k == 0 else e.name_likelihood(r) * P_MOVED * P_PLACE
+                like = like / self.rates.place if k == 0 else e.name_likelihood(r) * self.rates.moved * self.rates.place
             out += math.log(like)
             if k + 1 < len(group):
                 e = e.copy() if e is self else e
@@ -219,20 +259,19 @@ class _Entity:
 
     def agreed(self, r: dict) -> float:
         """Log-odds that the letters behind the first agree, for a stranger's would by chance."""
-        return max(0, min(len(r["ini"]), max(map(len, self.letters), default=0)) - 1) * math.log(LETTERS)
+        return max(0, min(len(r["ini"]), len(self.longest)) - 1) * math.log(LETTERS)
 
     def name_likelihood(self, r: dict) -> float:
         # a misspelt surname is only decided here if it is near: that a stranger has a surname so near is as rare as the error
         p = 1.0 if r["surname"] in self.surnames else 0.5
-        mine = max(self.letters, key=len, default="")
-        a, b = r["ini"], mine
+        a, b = r["ini"], self.longest
         if r["names"]:
             if self.given:
-                g = self.given.most_common(1)[0][0]
+                g = max(self.given.items(), key=lambda kv: kv[1])[0]
                 if r["first"] in self.given:
-                    p *= 1 - P_INITIAL
-                elif near(r["first"], g):
-                    p *= P_TYPO
+                    p *= 1 - self.rates.initial
+                elif misspelt(r["first"], g):
+                    p *= self.rates.typo
                 else:
                     return 0.0
             elif a[:1] == b[:1]:
@@ -242,7 +281,7 @@ class _Entity:
         else:
             if a[:1] != b[:1]:
                 return 0.0
-            p *= P_INITIAL
+            p *= self.rates.initial
         if not same_letters(a, b):
             return 0.0
         if (len(a) > 1) != (len(b) > 1):
@@ -255,8 +294,8 @@ class _Group(_Entity):
 
     __slots__ = ("topics",)
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, rates: Rates) -> None:
+        super().__init__(rates)
         self.topics: Counter = Counter()
 
     def add(self, r: dict) -> None:
@@ -276,84 +315,119 @@ class _Group(_Entity):
             return 0.0
         # the form with most words is the full one; a topic that is unlike it is no variant of this group
         full = max(self.topics, key=lambda t: (len(t), self.topics[t], t))
-        p = _topic_likelihood(r["names"], list(full))
+        p = _topic_likelihood(r["names"], list(full), self.rates)
         return p * (1.0 if r["surname"] in self.surnames else 0.5)
 
 
-def attribute(rows: list[dict]) -> list[int]:
-    """A number for each spelling of one surname; equal numbers are one entity.
+class _Candidates:
+    """The entities that can be likelier than a new one, by what a unit shares with them.
 
-    ``rows`` have author, surname, names, ini, place. Units that agree in given name and place are the frequent
-    forms; they become candidates by falling size, the rest is attached to the candidate of greatest posterior.
+    Elsewhere than at its place an entity explains a unit with at most the chance of a missing or changed place times
+    its share of the surname: below ``bar`` that is less than ``own``, unless letters behind the first agree.
     """
-    full = Counter(r["names"][0] for r in rows if r["names"])
+
+    def __init__(self, rates: Rates, total: float) -> None:
+        self.bar = total * rates.own / max(rates.missing, rates.moved, 0.1)
+        self.at: dict[str, list[_Entity]] = defaultdict(list)
+        self.like: dict[str, list[_Entity]] = defaultdict(list)
+        self.big: list[_Entity] = []
+
+    def note(self, e: _Entity, r: dict, n_before: float) -> None:
+        """Take in that ``r`` was added to ``e``."""
+        if r["place"] and e.places[r["place"]] == 1:
+            self.at[r["place"]].append(e)
+        if e.letters[r["ini"]] == 1:
+            for pair in {r["ini"][:2].lower(), "".join(c for c in r["ini"] if not c.isupper())[:2]}:
+                if len(pair) > 1 and e not in self.like[pair]:
+                    self.like[pair].append(e)
+        if n_before < self.bar <= e.n:
+            self.big.append(e)
+
+    def of(self, r: dict) -> list[_Entity]:
+        pairs = {r["ini"][:2].lower(), "".join(c for c in r["ini"] if not c.isupper())[:2]}
+        found = [*self.at.get(r["place"] or "?", ()), *self.big, *(e for p in pairs if len(p) > 1 for e in self.like.get(p, ()))]
+        return list({id(e): e for e in found}.values())
+
+
+def attribute(rows: list[dict], total: float | None = None, rates: Rates | None = None) -> list[int]:
+    """A number for each spelling of one surname and first letter; equal numbers are one entity.
+
+    ``rows`` have author, surname, names, first (the given name, '' for letters only), ini, place and weight; ``total``
+    is the weight of the whole surname. Units that agree in given name and place are the frequent forms; they become
+    candidates by falling frequency, the rest is attached to the candidate of greatest posterior.
+    """
+    full = Counter(r["first"] for r in rows if r["names"])
+    near_forms: dict[str, list[str]] = defaultdict(list)
+    for g in full:
+        for d in deletions(g):
+            near_forms[d].append(g)
+    right = {}
+    for g, n in full.items():
+        better = [o for d in deletions(g) for o in near_forms[d] if full[o] > n and misspelt(o, g)]
+        right[g] = max(better, key=lambda o: (full[o], o)) if better else g
     for i, r in enumerate(rows):
-        r["i"], first = i, ""
-        if r["names"]:
-            first = NICKNAMES.get(r["names"][0], r["names"][0])
-            better = [g for g in full if g != first and full[g] > full[first] and near(g, first)] if len(first) > 3 else []
-            first = max(better, key=lambda g: (full[g], g)) if better else first
-            r["ini"] = first[:1] + r["ini"][1:]
-        r["first"] = first
+        r["i"], r["first"] = i, right[r["first"]] if r["names"] else ""
     units: dict[tuple, list[dict]] = defaultdict(list)
     for r in rows:
         units[(r["first"] or r["ini"][:1], r["place"] or f"?{r['i']}")].append(r)
     # letters join the full name of their place
+    fulls: dict[tuple, list[tuple]] = defaultdict(list)
+    for g, place in units:
+        if len(g) > 1:
+            fulls[place, g[0]].append((g, place))
+    rates = rates or Rates()
     for (g, place), group in list(units.items()):
-        if len(g) == 1 and not place.startswith("?"):
-            fulls = [k for k in units if k[1] == place and len(k[0]) > 1 and k[0][0] == g]
-            if len(fulls) == 1 and not ({r["author"] for r in group} & {r["author"] for r in units[fulls[0]]}):
-                merged = _Entity()
-                for r in units[fulls[0]]:
-                    merged.add(r)
-                if all(merged.likelihood(r) > 0 for r in group):
-                    units[fulls[0]] += units.pop((g, place))
+        named = fulls.get((place, g), []) if len(g) == 1 else []
+        if len(named) == 1 and not ({r["author"] for r in group} & {r["author"] for r in units[named[0]]}):
+            merged = _Entity(rates)
+            for r in units[named[0]]:
+                merged.add(r)
+            if all(merged.likelihood(r) > 0 for r in group):
+                units[named[0]] += units.pop((g, place))
     order = sorted(units.items(), key=lambda kv: (kv[0][1].startswith("?"), -len(kv[1]), -max(len(r["names"]) for r in kv[1]), kv[0]))
     ranked = [sorted(group, key=lambda r: (not r["names"], -len(r["ini"]), r["author"])) for _, group in order]
-    return _settle(ranked, len(rows), _Entity, lambda r: r["ini"][:1])
-
+    return _settle(ranked, len(rows), total or sum(r["weight"] for r in rows), _Entity, rates)
 
-def _settle(units: list[list[dict]], total: int, kind: type[_Entity], key: Callable[[dict], str]) -> list[int]:
-    """A number for each row: every unit goes, as a whole, to the entity of greatest posterior or is a new one.
 
-    ``key`` is what all spellings of an entity have in common.
-    """
+def _settle(units: list[list[dict]], count: int, total: float, kind: type[_Entity], rates: Rates) -> list[int]:
+    """A number for each row: every unit goes, as a whole, to the entity of greatest posterior or is a new one."""
     entities: list[_Entity] = []
-    by_key: dict[str, list[_Entity]] = defaultdict(list)
+    known = _Candidates(rates, total)
 
-    def new(r: dict) -> _Entity:
-        entities.append(kind())
-        by_key[key(r)].append(entities[-1])
-        return entities[-1]
+    def put(e: _Entity | None, r: dict) -> None:
+        if e is None or r["author"] in e.spellings:  # the same spelling twice: two people
+            entities.append(e := kind(rates))
+        before = e.n
+        e.add(r)
+        known.note(e, r, before)
 
     for group in units:
         once = list({r["author"]: r for r in reversed(group)}.values())[::-1]
-        alone = kind()
+        alone = kind(rates)
         alone.add({**once[0], "i": -1})
-        best, score = None, math.log(P_OWN) + (alone.joint(once[1:]) - alone.agreed(once[1]) if once[1:] else 0.0)
-        for e in by_key[key(once[0])]:
+        best, score = None, math.log(rates.own) + (alone.joint(once[1:]) - alone.agreed(once[1]) if once[1:] else 0.0)
+        for e in known.of(once[0]):
             s = e.joint(once) + math.log(e.n / total)
             if s > score or best is not None and s == score and e.n > best.n:
                 best, score = e, s
-        best = best or new(once[0])
-        for r in group:
-            # the same spelling twice: two people
-            (best if r["author"] not in best.spellings else new(r)).add(r)
-    out = [0] * total
+        for k, r in enumerate(group):
+            put(best, r)
+            best = best or entities[-1]
+    out = [0] * count
     for k, e in enumerate(entities):
         for i in e.rows:
             out[i] = k
     return out
 
 
-def _attribute_groups(rows: list[dict]) -> list[int]:
-    """The same for group names of one telling name: type, topic and place."""
+def _attribute_groups(rows: list[dict], total: float | None = None, rates: Rates | None = None) -> list[int]:
+    """The same for group names of one telling name and type: topic and place."""
     units: dict[tuple, list[dict]] = defaultdict(list)
     for i, r in enumerate(rows):
         r["i"], r["first"] = i, ""
         units[(r["ini"], tuple(r["names"]), r["place"] or f"?{i}")].append(r)
     order = sorted(units.items(), key=lambda kv: (kv[0][2].startswith("?"), -len(kv[0][1]), -len(kv[1]), kv[0]))
-    return _settle([sorted(group, key=lambda r: r["author"]) for _, group in order], len(rows), _Group, lambda r: r["ini"])
+    return _settle([sorted(group, key=lambda r: r["author"]) for _, group in order], len(rows), total or sum(r["weight"] for r in rows), _Group, rates or Rates())
 
 
 def read_names(df: DataFrame) -> DataFrame:
@@ -382,7 +456,7 @@ def settle_order(names: DataFrame) -> DataFrame:
     letters = F.concat(F.substring("surname", 1, 1), F.expr("substring(ini, 2)"))  # the hyphen of a surname is gone
     return rows.withColumns({
         "surname": F.when(swap, F.col("names")[0]).otherwise(F.col("surname")),
-        "names": F.when(swap, F.concat(F.array("surname"), F.slice("names", 2, 9))).otherwise(F.col("names")),
+        "names": F.when(swap, F.concat(F.array("surname"), F.slice("names", 2, F.size("names")))).otherwise(F.col("names")),
         "ini": F.when(swap, letters).otherwise(F.col("ini")),
     }).drop("_first", "_as_name", "_n_first", "_n_last")
 
@@ -393,7 +467,7 @@ def near_words(counts: DataFrame, by: list[str], word: str) -> DataFrame:
     Found by shared one-deletion forms: a shuffle of about a dozen short rows a word, no comparison of all words.
     """
     deletes = F.udf(lambda s: deletions(s or ""), "array<string>", useArrow=True)
-    is_near = F.udf(lambda a, b: near(a, b), "boolean", useArrow=True)
+    is_near = F.udf(lambda a, b: misspelt(a, b), "boolean", useArrow=True)
     keys = stage(counts.withColumn("key", F.explode(deletes(word))))
     often = keys.select(*by, F.col(word).alias("to"), "key", F.col("n"))
     return keys.withColumnRenamed("n", "mine").join(often, [*by, "key"]).where(
@@ -402,18 +476,19 @@ def near_words(counts: DataFrame, by: list[str], word: str) -> DataFrame:
 
 
 def corrected_given(names: DataFrame) -> DataFrame:
-    """``names`` with misspelt given names put right where a near one is ``COMMON`` times as frequent in the table."""
+    """``names`` with misspelt given names put right where a near one is ``COMMON`` times as frequent in the table; ``misspelt`` tells where."""
     first = F.when((F.col("kind") == "p") & (F.size("names") > 0), F.col("names")[0])
-    counts = names.select(first.alias("_given")).where("length(_given) > 3").groupBy("_given").agg(F.count("*").alias("n"))
+    counts = names.select(first.alias("_given")).where("_given is not null").groupBy("_given").agg(F.count("*").alias("n"))
     better = near_words(counts, [], "_given").where(f"n >= {COMMON} * mine").groupBy("_given").agg(F.max_by("to", F.struct("n", "to")).alias("_to"))
     rows = names.withColumn("_given", first).join(better, "_given", "left")
     return rows.withColumns({
-        "names": F.when(F.col("_to").isNotNull(), F.concat(F.array("_to"), F.slice("names", 2, 9))).otherwise(F.col("names")),
+        "names": F.when(F.col("_to").isNotNull(), F.concat(F.array("_to"), F.slice("names", 2, F.size("names")))).otherwise(F.col("names")),
         "ini": F.when(F.col("_to").isNotNull(), F.concat(F.substring("_to", 1, 1), F.expr("substring(ini, 2)"))).otherwise(F.col("ini")),
+        "misspelt": F.col("_to").isNotNull(),
     }).drop("_given", "_to")
 
 
-def corrected_surnames(names: DataFrame) -> DataFrame:
+def corrected_surnames(names: DataFrame, typo: float) -> DataFrame:
     """``names`` with ``block``: the surname a row is decided under.
 
     A row goes to a more frequent surname a typing error away if someone there has the same first letter and the
@@ -422,7 +497,7 @@ def corrected_surnames(names: DataFrame) -> DataFrame:
     candidate with the same place, then the best given name, then the most frequent, wins.
     """
     counts = names.groupBy("kind", "surname").agg(F.count("*").alias("n"))
-    pairs = near_words(counts, ["kind"], "surname").where(f"mine <= {RARE} + {P_TYPO} * {EVIDENCE[0]} * n")
+    pairs = near_words(counts, ["kind"], "surname").where(f"mine <= {max(TAKEN)} + {typo * EVIDENCE[0]} * n")
     letter = F.when(F.col("kind") == "g", F.col("ini")).otherwise(F.lower(F.substring("ini", 1, 1)))
     given = F.when(F.col("kind") == "g", F.col("ini")).when(F.size("names") > 0, F.col("names")[0]).when(F.length("ini") > 1, F.lower("ini"))
     letters = F.when((F.col("kind") == "p") & (F.length("ini") > 1), F.lower("ini"))
@@ -439,9 +514,10 @@ def corrected_surnames(names: DataFrame) -> DataFrame:
     hit = lambda c: F.coalesce(F.col(c), F.lit(0))
     fits = F.when(hit("_same") == 1, 4).when((hit("_some") == 1) & (F.col("place") == ""), 2).when(hit("_named") == 1, 2).when(
         hit("_unknown") == 1, 1).otherwise(0)
-    both, place, one, none = map(F.lit, EVIDENCE)
-    speaks = F.when(F.col("_fits") == 4, F.when(hit("_named") == 1, both).otherwise(place)).when(F.col("_fits") == 2, one).otherwise(none)
-    best = scored.withColumn("_fits", fits).where("_fits > 0").where(F.col("mine") <= RARE + P_TYPO * F.col("n") * speaks).groupBy("name_id").agg(
+    level = F.when(F.col("_fits") == 4, F.when(hit("_named") == 1, 0).otherwise(1)).when(F.col("_fits") == 2, 2).otherwise(3)
+    expected = F.array(*map(F.lit, TAKEN))[level] + typo * F.col("n") * F.array(*map(F.lit, EVIDENCE))[level]
+    short = F.greatest(F.length("surname"), F.length("to")) < TELLING  # a swap in a short word tells less: place and given name must agree
+    best = scored.withColumn("_fits", fits).where("_fits > 0").where((F.col("mine") <= expected) & (~short | (level == 0))).groupBy("name_id").agg(
         F.max_by("to", F.struct(F.col("_fits") + hit("_named"), "n", "to")).alias("block"))
     moved = stage(names.join(best, "name_id", "left").withColumn("block", F.coalesce("block", "surname")))
     # where all rows of a surname have moved on, so do those that were sent to it
@@ -450,50 +526,86 @@ def corrected_surnames(names: DataFrame) -> DataFrame:
     return moved.join(onward, ["kind", "block"], "left").withColumn("block", F.coalesce("_on", "block")).drop("_on")
 
 
-def link_names(df: DataFrame) -> DataFrame:
+def measured_rates(names: DataFrame, corrected: DataFrame) -> Rates:
+    """The rates that the table itself tells, from one row of sums; ``corrected`` is ``names`` with given names put right."""
+    person, given = F.col("kind") == "p", F.size("names") > 0
+    seen = names.agg(F.count_if(person).alias("people"), F.count_if(person & ~given).alias("letters"), F.count("*").alias("rows"), F.count_if(F.col("place") == "").alias("nowhere")).first()
+    typo = corrected.agg(F.count_if(F.col("misspelt")).alias("wrong"), F.count_if(person & given).alias("given")).first()
+    prior = Rates()
+    share = lambda hits, of, at: (hits + SEEN * at) / (of + SEEN)
+    return Rates(initial=share(seen.letters, seen.people, prior.initial), missing=share(seen.nowhere, seen.rows, prior.missing), typo=share(typo.wrong, typo.given, prior.typo))
+
+
+def with_frequency(names: DataFrame, records: DataFrame | None) -> DataFrame:
+    """``names`` with ``weight``: how often the packed author fields of ``records`` have the spelling, shared by the rows that have it; 1 at least."""
+    if records is None:
+        return names.withColumn("weight", F.lit(1.0))
+    key = digest(F.regexp_replace(F.trim("val"), r"\s+", " "))
+    seen = split_packed(records.select("author").withColumn("_id", F.lit(0)), "_id", {"author": "names"}).groupBy(key.alias("_spelling")).agg(F.count("*").alias("_times"))
+    rows = names.withColumn("_spelling", digest(F.col("author")))
+    shared = rows.groupBy("_spelling").agg(F.count("*").alias("n")).join(seen, "_spelling").select("_spelling", "n", "_times")
+    got = join_lookup(rows, stage(shared.withColumn("_rows", F.col("n"))), ["_spelling"], how="left")
+    return got.withColumn("weight", F.greatest(F.lit(1.0), F.coalesce(F.col("_times") / F.col("_rows"), F.lit(1.0)))).drop("_spelling", "_times", "_rows")
+
+
+def link_names(df: DataFrame, records: DataFrame | None = None, nicknames: dict[str, str] | None = None) -> DataFrame:
     """(name_id, entity_id): every spelling with the smallest ``name_id`` of its entity.
 
-    ``df`` has name_id (unique), author, affiliation. Rows without an author are their own entity. Unreadable names
-    (no letters) are linked with none. Empty tables give no rows.
+    ``df`` has name_id (unique), author, affiliation; the frequency of a spelling is that in the packed ``author`` of
+    ``records`` where they are given. ``nicknames`` maps short forms of given names to full ones (default ``NICKNAMES``).
+    Rows without an author are their own entity. Unreadable names (no letters) are linked with none. Empty tables
+    give no rows.
     """
-    names = stage(corrected_given(settle_order(read_names(df))))
-    blocks = corrected_surnames(names)
-
-    def solve(kind: str, block: str, rows: list[dict]) -> list[tuple[int, int]]:
+    read = stage(settle_order(read_names(df)))
+    corrected = stage(corrected_given(read))
+    rates = measured_rates(read, corrected)
+    blocks = stage(with_frequency(corrected_surnames(corrected.drop("misspelt"), rates.typo), records))
+    short = F.create_map(*[F.lit(x) for pair in sorted((NICKNAMES if nicknames is None else nicknames).items()) for x in pair]) if nicknames != {} else F.create_map().cast("map<string,string>")
+    given = F.when((F.col("kind") == "p") & (F.size("names") > 0), F.col("names")[0])
+    first = F.coalesce(short[given], given, F.lit(""))
+    letters = F.when(first != "", F.concat(F.substring(first, 1, 1), F.expr("substring(ini, 2)"))).otherwise(F.col("ini"))
+    rows = blocks.withColumns({"first": first, "ini": letters}).withColumn("part", F.when(F.col("kind") == "g", F.col("ini")).otherwise(F.lower(F.substring("ini", 1, 1))))
+    totals = rows.groupBy(F.xxhash64("kind", "block").alias("_block")).agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
+    rows = join_lookup(rows.withColumn("_block", F.xxhash64("kind", "block")), stage(totals), ["_block"]).drop("_block")
+
+    def solve(rows: list[dict]) -> list[tuple[int, int]]:
         for r in rows:
             r["names"] = list(r["names"]) if r["names"] is not None else []
-        numbers = _attribute_groups(rows) if kind == "g" else list(range(len(rows))) if not block else attribute(rows)
+        kind, block, total = rows[0]["kind"], rows[0]["block"], rows[0]["total"]
+        numbers = _attribute_groups(rows, total, rates) if kind == "g" else list(range(len(rows))) if not block else attribute(rows, total, rates)
         ids = [r["name_id"] for r in rows]
         least: dict[int, int] = {}
         for i, k in zip(ids, numbers):
             least[k] = min(least.get(k, i), i)
         return [(i, least[k]) for i, k in zip(ids, numbers)]
 
+    key = ["kind", "block", "part"]
+
     def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows, out = ("", ""), [], []
+        at, rows, out = None, [], []
         for frame in frames:
             for r in frame.to_dict("records"):
-                if rows and (r["kind"], r["block"]) != key:
-                    out += solve(*key, rows)
+                if rows and tuple(r[k] for k in key) != at:
+                    out += solve(rows)
                     rows = []
-                key = (r["kind"], r["block"])
+                at = tuple(r[k] for k in key)
                 rows.append(r)
             if out:
                 yield pd.DataFrame(out, columns=["name_id", "entity_id"])
                 out = []
         if rows:
-            yield pd.DataFrame(solve(*key, rows), columns=["name_id", "entity_id"])
+            yield pd.DataFrame(solve(rows), columns=["name_id", "entity_id"])
 
     # surnames are many and small: walking sorted partitions spares the cost of a frame for each
-    ordered = blocks.repartition("kind", "block").sortWithinPartitions("kind", "block", "name_id")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "name_id")
     linked = ordered.mapInPandas(decide, "name_id long, entity_id long")
     blank = df.where("author is null").select("name_id", F.col("name_id").alias("entity_id"))
     return linked.unionByName(blank)
 
 
-def linked_pairs(df: DataFrame) -> DataFrame:
+def linked_pairs(df: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """(name_id_a, name_id_b), a < b, of one entity."""
-    links = stage(link_names(df))
+    links = stage(link_names(df, records))
     a = links.withColumnRenamed("name_id", "name_id_a")
     b = links.withColumnRenamed("name_id", "name_id_b")
     return a.join(b, "entity_id").where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

@@ -85,7 +85,7 @@ def p6_judged(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of spellings of one person or organisation."""
-    return linked_pairs(_t(spark, d, "author_names"))
+    return linked_pairs(_t(spark, d, "author_names"), _t(spark, d, "records"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,7 @@ QUERIES: dict[str, Query] = {
     "p6_ranking": p6_ranking,
     "p6_judged": p6_judged,
     "p7_found": p7_found,
-    "p7_entities": lambda s, d: link_names(_t(s, d, "author_names")),
+    "p7_entities": lambda s, d: link_names(_t(s, d, "author_names"), _t(s, d, "records")),
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
     "p9_containers": p9_containers,
