@@ -1,9 +1,11 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary, each distinct word once.
 
-Texts are split into words by the vocabulary's pattern inside the scan (JVM), exploded with
-positions, and the distinct words are counted with map-side combine. Each distinct word is
-encoded once; ids are joined back by word (the most frequent words by a broadcast of fixed
-size) and texts are reassembled by position. Decoding joins the token-byte table.
+Texts are split into words by the vocabulary's pattern inside the scan (JVM) and the distinct
+words are counted with map-side combine. Each distinct word is encoded once. The ids of the most
+frequent words, a table of fixed size, go to the tasks and are put in their positions in place;
+only the other words are exploded with their positions, joined with their ids, and put back by
+position into the texts that have any. So no text and hardly any word is shuffled. Decoding
+joins the token-byte table.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import HOT_KEYS, join_lookup
 from sieveline.session import spread, stage
 
+#: Words whose ids go to the tasks, and their greatest length in characters: the table has 80 MB at most.
+HOT_WORDS, LONGEST = 50_000, 256
 #: Folder of the vocabulary files; a parameter everywhere.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -55,26 +61,84 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.mapInPandas(run, "word string, n long, ids array<int>")
 
 
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    value = F.col(text).cast("string")
+    return spread(df.select(key, text)).select(F.col(key).alias("_key"), F.xxhash64(value).alias("_hash"), split_words(F.coalesce(value, F.lit(""))).alias("_words"))
+
+
+def _offsets(counts: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+
+
+def _placed(rows: DataFrame, lookup: DataFrame, hot: int, whole: bool) -> DataFrame:
+    """(_key, _hash, ids or n, miss): the ids (their number unless ``whole``) of the ``hot`` words of each text in place.
+
+    ``miss`` lists the other words: (at, pos, word), ``at`` being the number of ids in front.
+    """
+    often = lookup.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(hot).select("word", "ids").collect()  # bounded
+    words = pa.array([r.word for r in often], pa.string())
+    sizes = np.asarray([len(r.ids) for r in often] + [0], np.int64)
+    flat, firsts = np.asarray([i for r in often for i in r.ids], np.int32), np.cumsum(sizes) - sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("_words")
+            parent, coded = pc.list_parent_indices(listed).to_numpy(), listed.flatten().dictionary_encode()
+            known = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), -1).to_numpy().astype(np.int64) if len(coded) else np.zeros(0, np.int64)
+            number = known[coded.indices.to_numpy()] if len(coded) else known
+            n = sizes[number]
+            before = np.cumsum(n) - n  # ids of the batch in front of each word
+            of_row = np.bincount(parent, n, len(batch)).astype(np.int64)
+            missed = number < 0
+            row = parent[missed]
+            first = np.searchsorted(parent, np.arange(len(batch)))  # first word of each row
+            cells = pa.StructArray.from_arrays([
+                pa.array((before[missed] - (np.cumsum(of_row) - of_row)[row]).astype(np.int32)), pa.array((np.flatnonzero(missed) - first[row]).astype(np.int32)),
+                coded.dictionary.take(coded.indices.filter(pa.array(missed))) if len(coded) else pa.array([], pa.string())], ["at", "pos", "word"])
+            miss = pa.ListArray.from_arrays(_offsets(np.bincount(row, minlength=len(batch))), cells)
+            if whole:
+                value = pa.ListArray.from_arrays(_offsets(of_row), pa.array(flat[np.repeat(firsts[number] - before, n) + np.arange(n.sum())]))
+            else:
+                value = pa.array(of_row)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_hash"), value, miss], ["_key", "_hash", "ids" if whole else "n", "miss"])
+
+    kind = rows.schema["_key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"_key {kind}, _hash long, {'ids array<int>' if whole else 'n long'}, miss array<struct<at:int,pos:int,word:string>>")
+
+
+def _lookup(rows: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids): every distinct word of the corpus with its frequency, encoded once."""
+    return stage(encode_words(rows.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), path))
+
+
+def _missed(placed: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(_key, _hash, at, pos, ids) of the words that were not placed; equal rows count once."""
+    words = placed.where("size(miss) > 0").select("_key", "_hash", F.explode("miss").alias("m")).select("_key", "_hash", "m.*").distinct()
+    return words.join(lookup.select("word", "ids"), "word").drop("word")
+
+
+def _mend(placed: DataFrame, rest: DataFrame) -> DataFrame:
+    """The texts with words that were not placed, with what ``rest`` has of them; null keys are keys."""
+    other = rest.withColumnsRenamed({"_key": "_k", "_hash": "_h"})
+    return placed.where("size(miss) > 0").join(other, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{BYTE_BPE}",
-                  hot: int = HOT_KEYS) -> DataFrame:
+                  hot: int = HOT_WORDS) -> DataFrame:
     """(key, ids): token ids of every row, without special tokens; their strings are ordinary text.
 
-    Null and empty texts have the ids ``[]``. A repeated key gives one row for each of its rows; equal
-    (key, text) rows are encoded once. Texts are encoded whole, whatever their length. Other columns of
-    ``df`` play no part.
+    Null and empty texts have the ids ``[]``. A repeated key gives one row for each of its rows. Texts are encoded
+    whole, whatever their length. Other columns of ``df`` play no part.
     """
-    rows = spread(df.select(key, text)).select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"),
-                     F.xxhash64(F.col(text).cast("string")).alias("_hash"))
-    pieces = rows.where("length(_text) > 0").select("_key", "_hash", F.posexplode(split_words(F.col("_text"))).alias("pos", "word"))
-    counts = pieces.groupBy("word").agg(F.count("*").alias("n"))
-    lookup = stage(encode_words(counts, path))
-    coded = join_lookup(pieces, lookup, ["word"], hot=hot).select("_key", "_hash", F.struct("pos", "ids").alias("piece"))
-    placed = coded.groupBy("_key", "_hash").agg(F.array_sort(F.collect_list("piece")).alias("p"))
-    # a repeated row brings each position again
-    once = F.filter("p", lambda x, i: (i == 0) | (x["pos"] != F.col("p")[F.greatest(i - 1, F.lit(0))]["pos"]))
-    whole = placed.select("_key", "_hash", F.flatten(F.transform(once, lambda x: x["ids"])).alias("ids"))
-    return rows.select("_key", "_hash").join(whole, ["_key", "_hash"], "left").select(
-        F.col("_key").alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    rows = _keyed(df, key, text)
+    lookup = _lookup(rows, path)
+    placed = stage(_placed(rows, lookup, hot, True))
+    rest = _missed(placed, lookup).groupBy("_key", "_hash").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "ids"))).alias("m"))
+    upto = lambda i: F.coalesce(F.get("m", i)["at"], F.lit(0))
+    parts = F.transform("m", lambda x, i: F.concat(F.slice("ids", upto(i - 1) + 1, x["at"] - upto(i - 1)), x["ids"]))
+    tail = F.slice("ids", upto(F.size("m") - 1) + 1, F.size("ids"))
+    mended = _mend(placed, rest).select("_key", F.flatten(F.array_append(parts, tail)).alias("ids"))
+    return placed.where("size(miss) = 0").select("_key", "ids").unionByName(mended).select(F.col("_key").alias(key), "ids")
 
 
 def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
@@ -92,13 +156,11 @@ def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: st
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{BYTE_BPE}") -> DataFrame:
     """(key, n_tokens): the length of ``encode_corpus`` without carrying the ids.
 
-    Token counts add up over words, so only the number of each distinct word is joined and rows are summed.
+    Token counts add up over words, so the numbers of the words that were not placed are summed by text.
     """
-    rows = spread(df.select(key, text)).select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    pieces = rows.where("length(_text) > 0").select("_key", "_hash", F.explode(split_words(F.col("_text"))).alias("word"))
-    lookup = stage(encode_words(pieces.groupBy("word").agg(F.count("*").alias("n")), path).select("word", "n", F.size("ids").alias("size")))
-    sums = join_lookup(pieces, lookup, ["word"]).groupBy("_key", "_hash").agg(F.sum("size").alias("sum"))
-    copies = rows.groupBy("_key", "_hash").agg(F.count("*").alias("copies"))
-    per = copies.join(sums, ["_key", "_hash"], "left").select("_key", "_hash", "copies", F.coalesce(F.col("sum") / F.col("copies"), F.lit(0)).cast("int").alias("n_tokens"))
-    return per.select(F.col("_key").alias(key), "n_tokens", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_i")).drop("_i")
+    rows = _keyed(df, key, text)
+    lookup = _lookup(rows, path)
+    placed = stage(_placed(rows, lookup, HOT_WORDS, False))
+    rest = _missed(placed, lookup).groupBy("_key", "_hash").agg(F.sum(F.size("ids")).alias("more"))
+    mended = _mend(placed, rest).select("_key", (F.col("n") + F.col("more")).alias("n"))
+    return placed.where("size(miss) = 0").select("_key", "n").unionByName(mended).select(F.col("_key").alias(key), F.col("n").cast("int").alias("n_tokens"))
