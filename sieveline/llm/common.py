@@ -1,4 +1,4 @@
-"""Shared pieces: canonical forms of fields, and joins that survive hot keys."""
+"""Shared pieces: canonical forms of fields, and row numbers."""
 
 from __future__ import annotations
 
@@ -12,9 +12,6 @@ from pyspark.sql import types as T
 from sieveline.operators.packed import parse_field
 from sieveline.session import stage
 
-#: Most frequent keys that are broadcast by ``join_lookup``: a fixed bound, whatever the data.
-HOT_KEYS = 50_000
-
 # What stands for a missing value in exports, lower case, letters and digits only.
 PLACEHOLDERS = ("", "na", "nan", "none", "null", "nil", "pending", "unknown", "notavailable", "noabstractavailable",
                 "abstractnotavailable", "noabstract", "notitle", "tba", "tbd", "missing", "nd")
@@ -52,20 +49,6 @@ def author_key(texts: pd.Series) -> pd.Series:
     return texts.map(author_key_of)
 
 
-def join_lookup(rows: DataFrame, lookup: DataFrame, on: list[str], weight: str = "n", hot: int = HOT_KEYS) -> DataFrame:
-    """Inner join with a table of unique keys, safe when a key holds a third of the rows.
-
-    The ``hot`` heaviest keys (a fixed number of rows, so their broadcast has a size bound) never reach the
-    shuffle; the others are joined by it.
-    """
-    slim = [c for c in lookup.columns if c != weight]
-    top = stage(lookup.orderBy(F.desc(weight), *on).limit(hot).select(*slim))
-    often = rows.join(F.broadcast(top), on)
-    rest = rows.join(F.broadcast(top.select(*on)), on, "left_anti").join(
-        lookup.select(*slim).join(F.broadcast(top.select(*on)), on, "left_anti"), on)
-    return often.unionByName(rest)
-
-
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """``df`` with its 1-based row number in a total order, without a single-task window.
 

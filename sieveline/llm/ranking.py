@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import join_lookup, numbered
+from sieveline.llm.common import numbered
+from sieveline.operators.joins import join_lookup
 from sieveline.operators.ranks import distinct_values
 from sieveline.session import stage
 
@@ -29,13 +30,13 @@ def latest_rows(screening: DataFrame, key: str = "record_id", group: str = "run_
 def rank_shares(rows: DataFrame, key: str, group: str, scores: list[str]) -> DataFrame:
     """(key, score, share): place of each value among its group, best first, in (0, 1); null and NaN have none."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("value")) for c in scores]))
-    long = rows.select(key, F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_group"), cells.alias("_c")).select(key, "_group", "_c.*").where(
+    long = rows.select(key, F.col(group).cast("string").alias("_run"), cells.alias("_c")).select(key, F.xxhash64("_run", "_c.score").alias("_group"), "_c.*").where(
         F.col("value").isNotNull() & ~F.isnan("value"))
-    values = stage(distinct_values(long, "value", ["_group", "score"]))
-    totals = values.groupBy("_group", "score").agg(F.sum("n").alias("_total"))  # a row per run and score
+    values = stage(distinct_values(long, "value", ["_group"]))
+    totals = values.groupBy("_group").agg(F.sum("n").alias("_total"))  # a row per run and score
     share = (F.col("_total") + 1 - (F.col("before") + (F.col("n") + 1) / 2) - 0.5) / F.col("_total")
-    lookup = values.join(totals, ["_group", "score"]).select("_group", "score", "value", "n", share.alias("share"))
-    return join_lookup(long, lookup, ["_group", "score", "value"]).select(key, "score", "share")
+    lookup = values.join(F.broadcast(totals), "_group").select("_group", "value", "n", share.alias("share"))
+    return join_lookup(long, lookup, ["_group", "value"]).select(key, "score", "share")
 
 
 def median_ranking(screening: DataFrame, weights: dict[str, float] | None = None, key: str = "record_id", group: str = "run_id") -> DataFrame:
