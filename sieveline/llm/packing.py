@@ -21,8 +21,8 @@ from sieveline.session import stage
 
 #: Most buckets per capacity.
 BUCKETS = 192
-#: Most container sizes in one call: a driver-side loop.
-MOST_CAPACITIES = 64
+#: Container sizes that are planned in one query; more are worked off in turns.
+TOGETHER = 32
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -97,13 +97,13 @@ def pack(items: DataFrame, capacities: DataFrame, key: str = "doc_id", size: str
     Capacities below 1 and null ones are left out.
     """
     spark = items.sparkSession
-    caps = {r.cap_id: int(r.capacity_tokens) for r in capacities.select("cap_id", "capacity_tokens").distinct().limit(MOST_CAPACITIES + 1).collect()
-            if r.capacity_tokens and r.capacity_tokens > 0}
-    if len(caps) > MOST_CAPACITIES:
-        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    caps = {r.cap_id: int(r.capacity_tokens) for r in capacities.where("capacity_tokens > 0").select("cap_id", "capacity_tokens").distinct().toLocalIterator()}
     base = stage(items.where(F.col(size) > 0).select(F.col(key).alias("_key"), F.col(size).cast("int").alias("_size")))
-    out = []
+    out, turns = [], []
     for cap_id, cap in sorted(caps.items()):
+        if len(out) == TOGETHER:
+            turns.append(stage(reduce(DataFrame.unionByName, out)))
+            out = []
         chunks = F.explode(F.sequence(F.lit(0), ((F.col("_size") - 1) / cap).cast("int")))
         parts = base.select("_key", chunks.alias("part"), "_size").select("_key", "part", F.least(F.lit(cap), F.col("_size") - F.col("part") * cap).alias("tokens"))
         histogram = sorted((r.tokens, r.n) for r in parts.groupBy("tokens").agg(F.count("*").alias("n")).collect())  # at most cap rows
@@ -112,14 +112,17 @@ def pack(items: DataFrame, capacities: DataFrame, key: str = "doc_id", size: str
         sizes, counts = np.asarray([h[0] for h in histogram]), np.asarray([h[1] for h in histogram], np.float64)
         bounds = bucket_bounds(sizes, counts, buckets)
         per = np.bincount(np.searchsorted(bounds, sizes), counts, len(bounds)).astype(np.int64).tolist()
-        where = spark.createDataFrame([(*map(int, p),) for p in plan(bounds, per, cap)], "bucket int, first long, items long, container long, each int")
+        patterns: dict[int, list[tuple[int, int, int]]] = {}
+        for k, first, _, container, each in sorted(plan(bounds, per, cap)):
+            patterns.setdefault(int(k), []).append((int(first), int(container), int(each)))
+        where = spark.createDataFrame(list(patterns.items()), "bucket int, patterns array<struct<first:long,container:long,each:int>>")  # a row per bucket
         bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("tokens")))
         numbered = _numbered(parts.withColumn("bucket", bucket))
-        placed = numbered.join(F.broadcast(where), "bucket").where((F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("items")))
-        out.append(placed.select(F.lit(cap_id).alias("cap_id"), (F.col("container") + F.floor((F.col("number") - F.col("first")) / F.col("each"))).cast("long").alias("container"),
+        placed = numbered.join(F.broadcast(where), "bucket").withColumn("of", F.element_at(F.filter("patterns", lambda p: p["first"] <= F.col("number")), -1))
+        out.append(placed.select(F.lit(cap_id).alias("cap_id"), (F.col("of.container") + F.floor((F.col("number") - F.col("of.first")) / F.col("of.each"))).cast("long").alias("container"),
                                  F.col("_key").alias(key), "part", F.col("tokens").alias(size)))
     empty = base.limit(0).select(F.lit(0).cast("long").alias("cap_id"), F.lit(0).cast("long").alias("container"), F.col("_key").alias(key), F.lit(0).alias("part"), F.col("_size").alias(size))
-    return reduce(DataFrame.unionByName, out) if out else empty
+    return reduce(DataFrame.unionByName, [*turns, *out]) if out else empty
 
 
 def _numbered(parts: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveline.llm.packing import bucket_bounds, fill_report, pack, plan
 from sieveline.llm.ranking import median_ranking
@@ -58,6 +59,14 @@ def test_pack(spark):
     assert not pack(items.limit(0), caps).collect() and not pack(items, caps.limit(0)).collect()
 
 
+def test_any_number_of_capacities(spark, monkeypatch):
+    monkeypatch.setattr("sieveline.llm.packing.TOGETHER", 2)
+    items = spark.createDataFrame([(i, i % 9 + 1) for i in range(60)], "doc_id long, n_tokens int")
+    caps = spark.createDataFrame([(c, 10 * c) for c in range(1, 6)], "cap_id long, capacity_tokens int")
+    got = {r.cap_id: (r.items, r.tokens) for r in pack(items, caps).groupBy("cap_id").agg(F.countDistinct("doc_id").alias("items"), F.sum("n_tokens").alias("tokens")).collect()}
+    assert got == {c: (60, sum(i % 9 + 1 for i in range(60))) for c in range(1, 6)}
+
+
 SCREENING = "record_id long, run_id long, rule_score double, tfidf_score double, rank_score double, screened_at timestamp, position string"
 
 
