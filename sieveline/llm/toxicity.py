@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,11 @@ _INNER = re.compile(r"(?<=[^\W\d_])[-'’*.·_~]+(?=[^\W\d_])")
 _LONG = re.compile(r"([^\W\d_])\1{2,}")
 _WORD = re.compile(r"[^\W\d_]+|[.!?;。！？；]+|\n")
 _END = re.compile(r"[.!?;。！？；\n]")
+#: A piece that stands for a line break, and pieces that begin or end with a letter alone.
+_LINE = "\x00\x00"
+_SPACED_LINE = f" {_LINE} "
+_BEGINS = re.compile(r"^[.\-_*·]?[^\W\d_](?![^\W\d_])")
+_ENDS = re.compile(r"(?<![^\W\d_])[^\W\d_][.\-_*·]?$")
 
 
 def plain_text(text: str) -> str:
@@ -85,32 +91,80 @@ def _grams(word: str) -> list[int]:
     return [zlib.crc32(b"g" + padded[i : i + 4].encode()) % WEIGHTS for i in range(max(1, len(padded) - 3))]
 
 
+class Tokens:
+    """Words of texts as numbers. Every piece between white space is read once; only its words are looked up again."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.is_end: list[bool] = []
+        self.pieces: dict[str, int] = {}
+        self.listed: list[tuple[list[int], int]] = []  # the words of a piece; 1 if it may begin, 2 if it may end letters spelt out
+        self.table: tuple | None = None
+
+    def number(self, word: str) -> int:
+        n = self.words.get(word)
+        if n is None:
+            n = self.words[word] = len(self.is_end)
+            self.is_end.append(bool(_END.match(word)))
+        return n
+
+    def _piece(self, piece: str) -> int:
+        n = self.pieces.get(piece)
+        if n is None:
+            n = self.pieces[piece] = len(self.listed)
+            words = ["\n"] if piece == _LINE else tokens_of(piece)
+            bare = _CJK.sub(r" \1 ", _INVISIBLE.sub("", unicodedata.normalize("NFKC", piece.lower()))).strip()
+            self.listed.append(([self.number(w) for w in words], bool(_BEGINS.search(bare)) * 1 | bool(_ENDS.search(bare)) * 2))
+            self.table = None
+        return n
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word numbers, owners) of the texts, in order; what ``tokens_of`` gives, text by text."""
+        stream, counts = [], []
+        for text in texts:
+            pieces = (text.replace("\n", _SPACED_LINE) if "\n" in text else text).split()
+            stream += pieces
+            counts.append(len(pieces))
+        numbers = np.asarray([self._piece(p) for p in stream], np.int64)
+        if self.table is None:
+            sizes = np.asarray([len(w) for w, _ in self.listed], np.int64)
+            self.table = (sizes, np.cumsum(sizes) - sizes, np.asarray([x for w, _ in self.listed for x in w], np.int64), np.asarray([f for _, f in self.listed], np.int64))
+        sizes, firsts, flat, marks = self.table
+        owner = np.repeat(np.arange(len(texts)), counts)
+        mark = marks[numbers] if len(numbers) else numbers
+        spelt = (mark[:-1] & 2 > 0) & (mark[1:] & 1 > 0) & (owner[1:] == owner[:-1])
+        slow = np.zeros(len(texts), bool)
+        slow[owner[:-1][spelt]] = True  # letters with spaces between: these texts are read as a whole
+        fast = ~slow[owner] if len(owner) else slow[:0]
+        n = sizes[numbers[fast]] if len(numbers) else numbers
+        at = np.repeat(firsts[numbers[fast]] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(numbers) else numbers
+        words, owners = [flat[at]], [np.repeat(owner[fast], n)]
+        for i in np.flatnonzero(slow):
+            words.append(np.asarray([self.number(w) for w in tokens_of(texts[i])], np.int64))
+            owners.append(np.full(len(words[-1]), i))
+        words, owners = np.concatenate(words), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        return words[order], owners[order]
+
+
 class Corpus:
     """Sentences of texts as arrays: codes of words, bounds of sentences, owners."""
 
     def __init__(self, texts: list[str]) -> None:
-        codes, ends, owner, self.words, listed = [], [], [], {}, []
-        for i, text in enumerate(texts):
-            at = len(codes)
-            for w in tokens_of(text):
-                if _END.match(w):
-                    if len(codes) > at:
-                        ends.append(len(codes))
-                        owner.append(i)
-                        at = len(codes)
-                else:
-                    if w not in self.words:
-                        self.words[w] = len(listed)
-                        listed.append(w)
-                    codes.append(self.words[w])
-            if len(codes) > at:
-                ends.append(len(codes))
-                owner.append(i)
-        self.listed, self.ids = listed, np.asarray(codes, np.int64)
-        self.ends, self.owner = np.asarray(ends, np.int64), np.asarray(owner, np.int64)
-        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-        self.code = np.asarray([_code(w) for w in listed], np.int64)
-        self.sentence = np.repeat(np.arange(len(ends)), self.ends - self.starts)
+        tokens = Tokens()
+        ids, owner = tokens.of(texts)
+        names, end = list(tokens.words), np.asarray(tokens.is_end, bool)
+        word = ~end[ids]
+        cut = np.zeros(len(ids), np.int64)
+        cut[1:] = (~word[:-1]) | (owner[1:] != owner[:-1])
+        _, sentence = np.unique(np.cumsum(cut)[word], return_inverse=True)
+        used, self.ids = np.unique(ids[word], return_inverse=True)
+        self.listed, self.sentence = [names[i] for i in used], sentence
+        n = np.bincount(sentence) if len(sentence) else np.zeros(0, np.int64)
+        self.ends = np.cumsum(n)
+        self.starts = self.ends - n
+        self.owner = owner[word][self.starts] if len(n) else np.zeros(0, np.int64)
+        self.code = np.asarray([_code(w) for w in self.listed], np.int64)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, hashed feature) of every word, pair, triple."""
@@ -144,27 +198,18 @@ class ToxicityModel:
         """(texts, categories): the probability of the most telling sentence; 0 without words."""
         out = np.zeros((len(texts), len(self.bias)))
         cache = self.cache
-        if "ids" not in cache or len(cache["ids"]) > CACHE:
-            cache.update(ids={}, code=[], own=[])
-        ids, code, own = cache["ids"], cache["code"], cache["own"]
-        stream, counts = [], []
-        for text in texts:
-            words = tokens_of(text)
-            stream += words
-            counts.append(len(words))
-        numbers = [ids.get(w, -1) for w in stream]
-        if -1 in numbers:
-            for w in {w for w, n in zip(stream, numbers) if n < 0}:
-                ids[w] = len(code)
-                end = bool(_END.match(w))
-                code.append(-1 if end else _code(w))
-                own.append(np.zeros(len(self.bias)) if end else self.weights[_code(w) % WEIGHTS] + self.weights[_grams(w)].mean(0))
-            numbers = [ids[w] for w in stream]
-        if not numbers:
+        if "tokens" not in cache or len(cache["tokens"].pieces) > CACHE:
+            cache.update(tokens=Tokens(), code=np.zeros(0, np.int64), own=np.zeros((0, len(self.bias))))
+        ids, owner = cache["tokens"].of(texts)
+        if not len(ids):
             return out
-        at = np.asarray(numbers)
-        codes, score = np.asarray(code, np.int64)[at], np.asarray(own)[at]
-        owner = np.repeat(np.arange(len(texts)), counts)
+        new = list(cache["tokens"].words)[len(cache["code"]):]
+        if new:
+            ends = cache["tokens"].is_end[len(cache["code"]):]
+            code = [-1 if end else _code(w) for w, end in zip(new, ends)]
+            own = [np.zeros(len(self.bias)) if end else self.weights[c % WEIGHTS] + self.weights[_grams(w)].mean(0) for w, c, end in zip(new, code, ends)]
+            cache.update(code=np.concatenate([cache["code"], np.asarray(code, np.int64)]), own=np.concatenate([cache["own"], np.stack(own)]))
+        codes, score = cache["code"][ids], cache["own"][ids]
         word = codes >= 0
         cut = np.zeros(len(codes), np.int64)
         cut[1:] = (~word[:-1]) | (owner[1:] != owner[:-1])
@@ -270,8 +315,8 @@ def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 3, steps: in
             soft = np.logaddexp(0, z)
             negative_risk = (w_u * soft).sum() - prior * (w_p * soft).sum()
             negative = w_u * sig - prior * w_p * sig
-            # a negative estimate means overfitting: then only that part is undone
-            grad = (prior * w_p * (sig - 1) + (negative if negative_risk >= 0 else -negative)) / prior
+            # a negative estimate means overfitting: then the step undoes that part alone
+            grad = (prior * w_p * (sig - 1) + negative if negative_risk >= 0 else -negative) / prior
             per = grad * scale
             own = np.bincount(corpus.ids, per[corpus.sentence], len(listed))
             gw = np.bincount(f, per[s], WEIGHTS) + np.bincount(g_feat, own[g_owner] * g_share, WEIGHTS) + decay * weights
@@ -298,17 +343,14 @@ def training_sample(documents: DataFrame, labels: DataFrame, labelled: int = LAB
     Several labels of one document count as positive if half of those given are. Labels without a document and
     null labels count for nothing.
     """
-    agreed = labels.groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
+    agreed = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in CATEGORIES])
     known = agreed.select("doc_id", *[F.when(F.col(c) >= 0.5, 1).when(F.col(c) < 0.5, 0).otherwise(-1).alias(c) for c in CATEGORIES])
-    docs = documents.where("length(trim(text)) > 0").select("doc_id", "text")
-    picked = [known.where(f"{c} = 1") for c in CATEGORIES] + [known.where(" and ".join(f"{c} <> 1" for c in CATEGORIES))]
-    others = docs.select("doc_id").join(known, "doc_id", "left_anti").select("doc_id", *[F.lit(-1).alias(c) for c in CATEGORIES])
-    rows = {}
-    for part, bound in [*((p, labelled) for p in picked), (others, unlabelled)]:
-        chosen = part.orderBy(F.xxhash64("doc_id")).limit(bound)
-        for r in docs.join(F.broadcast(chosen), "doc_id").collect():  # bounded
-            rows[r.doc_id] = r
-    ordered = [rows[k] for k in sorted(rows)]
+    first = lambda df, bound: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    picked = [first(known.where(f"{c} = 1"), labelled) for c in CATEGORIES] + [first(known.where(" and ".join(f"{c} <> 1" for c in CATEGORIES)), labelled)]
+    others = first(documents.select("doc_id").join(known, "doc_id", "left_anti").select("doc_id", *[F.lit(-1).alias(c) for c in CATEGORIES]), unlabelled)
+    chosen = reduce(DataFrame.unionByName, [*picked, others]).distinct()  # bounded, so is its broadcast
+    texts = documents.where("length(trim(text)) > 0").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    ordered = sorted({(r.doc_id, r.text): r for r in texts.collect()}.values(), key=lambda r: (r.doc_id, r.text))
     return [r.text for r in ordered], np.asarray([[r[c] for c in CATEGORIES] for r in ordered]).reshape(-1, len(CATEGORIES))
 
 

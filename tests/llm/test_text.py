@@ -171,6 +171,21 @@ def test_disguises(trained):
     assert trained.scores(["Only a m0r0n could write this garbage."])[0, 0] >= toxicity.HOLDS
 
 
+def test_pieces_read_once_are_the_words_of_whole_texts():
+    rng = random.Random(4)
+    parts = ["m o r o n", "J. A. Smith", "e.g. a", "i.d i o t", "don't", "\n", " ", "  ", "M0r0n!", "东京 都", "naïve", "x\u200by", "a", "I", "b.", "-c-", "Ａ Ｂ Ｃ", "e\u0301 f g", "12.5%", "so-called", "\t", "¿qué?"]
+    texts = ["", " ", *["".join(rng.choices(parts, k=rng.randrange(1, 12))) for _ in range(3000)], *PLAIN]
+    tokens = toxicity.Tokens()
+    for at in (0, 1000, 2000, 3000):
+        part = texts[at : at + 1000]
+        ids, owner = tokens.of(part)
+        names = list(tokens.words)
+        got = [[] for _ in part]
+        for w, o in zip(ids, owner):
+            got[o].append(names[w])
+        assert got == [toxicity.tokens_of(t) for t in part]
+
+
 def test_toxicity_frames(spark, trained):
     docs = spark.createDataFrame([(1, PLAIN[0], "a", 1), (2, "You are a moron and should be shot.", "a", 1), (3, None, None, 1), (4, "", "b", 1)], "doc_id long, text string, source string, category int")
     scores = toxicity.score_documents(docs, trained)
