@@ -1,8 +1,8 @@
 """Document language with confidence, also of each segment of a mixed text.
 
 A linear-chain conditional random field labels every word with a language: affix, letter
-n-gram and whole-word features give the emissions, transitions between neighbouring words
-are learned, and the forward-backward algorithm gives each word its marginals. A sentence has
+n-gram, whole-word and lexicon features give the emissions, transitions between neighbouring words
+and the first language are learned, and the forward-backward algorithm gives each word its marginals. A sentence has
 the language of the greatest summed marginal; neighbouring sentences in one language are one
 segment. The model is trained here, on a bounded sample of the rows that carry a label; the
 labels may be wrong: a first model trained on them relabels the sample sentence by sentence,
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import PLACEHOLDERS, bare
-from sieveline.session import spread
+from sieveline.session import spread, stage
 
 LANGS = ("en", "de", "fr", "es", "pt", "zh")
 # How labels name these languages, lower case, before any hyphen or underscore.
@@ -34,19 +34,30 @@ LABELS = {
     "fr": ("fr", "fra", "fre", "french", "français", "francais", "französisch"), "es": ("es", "spa", "spanish", "español", "espanol", "castilian"),
     "pt": ("pt", "por", "portuguese", "português", "portugues"), "zh": ("zh", "zho", "chi", "chinese", "中文", "cmn", "mandarin"),
 }
+# Usual function words of these languages. Chinese has its own script.
+LEXICON = {
+    "en": "the of and to in is was were are with for that this by from on at as be or an not have has which these between we it but than",
+    "de": "der die das und ist war wurde wurden den dem des ein eine einer eines mit für von im zu auf bei nicht sich als auch nach wird werden sind oder",
+    "fr": "le la les des du de et est une un dans pour par sur avec que qui ont été cette ces aux au ou ne pas nous sont entre plus il",
+    "es": "el la los las de del y es una un en para por con que se fue fueron no al lo su sus como más o entre este esta son han",
+    "pt": "o a os as de do da dos das e é uma um em para por com que se foi foram não ao na no nas nos mais ou entre são os seus",
+}
 #: Labelled rows per language that the model is fitted on: the documented bound of the sample.
 TRAIN_ROWS = 220
 #: Hashed feature space; the model is this many rows of len(LANGS) weights.
 FEATURES = 1 << 16
 #: Rows worked on together, and distinct words a worker remembers.
 CHUNK, CACHE = 2000, 400_000
-#: Words after which a long text is cut at the next sentence for forward-backward; nothing is left out.
+#: Least probability, by its own words alone, of a line of two words that is taken for a sentence of its own.
+LINE = 0.85
+#: Words after which a long text of the training sample is cut at the next sentence; texts are labelled as one chain.
 BLOCK = 150
 
 _CJK = re.compile(r"([㐀-鿿豈-﫿]|[。！？，；：])")
 _END = re.compile(r"(?:[.!?…]+[\"'”’)\]»]*|[。！？])$")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BREAK = "\x00"
+_LEXICON = {w: [f"#{lang}" for lang, words in LEXICON.items() if w in words.split()] for words in LEXICON.values() for w in words.split()}
 
 
 def label_language(col: Column) -> Column:
@@ -67,13 +78,14 @@ def words_of(text: str) -> list[str]:
 
 
 def features_of(token: str) -> list[int]:
-    """Hashed affixes, n-grams and the word itself; [] without letters."""
+    """Hashed affixes, n-grams, the word itself and the lexicons it stands in; [] without letters."""
     out: list[str] = []
-    for word in _LETTERS.findall(token.lower())[:6]:
+    for word in _LETTERS.findall(token.lower()):
         if "㐀" <= word[0] <= "鿿":
             out += ["#zh", word]
             continue
         padded = f"^{word}$"
+        out += _LEXICON.get(word, ())
         out += [f"w{word}", f"p{word[:2]}", f"p{word[:3]}", f"s{word[-2:]}", f"s{word[-3:]}", f"s{word[-4:]}"]
         out += [padded[i : i + 3] for i in range(len(padded) - 2)]
         out += [f"c{c}" for c in set(word) if not "a" <= c <= "z"]
@@ -155,7 +167,7 @@ def sentence_starts(flags: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Lengths of the blocks that texts are cut into: at the first sentence after every ``BLOCK`` words."""
+    """Lengths of the blocks that training texts are cut into: at the first sentence after every ``BLOCK`` words."""
     ends = np.cumsum(lengths)
     owner = np.searchsorted(ends, starts, side="right")
     number = owner * (int(lengths.max()) // BLOCK + 1) + (starts - (ends - lengths)[owner]) // BLOCK
@@ -183,14 +195,20 @@ def languages(model: LanguageModel, texts: list[str]) -> tuple[list[list[tuple[s
     sizes = np.asarray(lengths)
     scores, flags = model.emissions(tokens)
     starts = sentence_starts(flags, sizes)
-    marginals, _ = forward_backward(scores, blocks_of(starts, sizes), model.transitions, model.start)
+    marginals, _ = forward_backward(scores, sizes, model.transitions, model.start)
     telling = (flags & 4) == 0
     sums = np.add.reduceat(marginals * telling[:, None], starts, axis=0)
     words = np.add.reduceat(telling.astype(np.int32), starts)
     owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+    opens = (flags[starts] & 2 > 0) | (np.diff(owner, prepend=-1) > 0)
+    line = opens & np.append(opens[1:], True)  # a sentence that is all of its line
+    alone = np.add.reduceat(scores * telling[:, None], starts, axis=0).astype(np.float64)
+    alone = np.exp(alone - alone.max(1, keepdims=True))
+    alone /= alone.sum(1, keepdims=True)
     keep = words > 0
-    sums, words, owner = sums[keep], words[keep], owner[keep]
-    best = sums.argmax(1)
+    sums, words, owner, alone = sums[keep], words[keep], owner[keep], alone[keep]
+    line = line[keep] & (words == 2) & (alone.max(1) >= LINE)
+    best = np.where(line, alone.argmax(1), sums.argmax(1))
     edges = np.flatnonzero(np.diff(owner, prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(owner)]):
         langs, n, s = best[a:b], words[a:b], sums[a:b]
@@ -200,9 +218,9 @@ def languages(model: LanguageModel, texts: list[str]) -> tuple[list[list[tuple[s
         if (langs == langs[0]).all():
             out[owners[owner[a]]] = [(LANGS[langs[0]], float(total[langs[0]] / n.sum()))]
             continue
-        langs = langs.copy()
-        for k in range(b - a):  # a word or two are no sentence of their own
-            if n[k] < 3 and LANGS[langs[k]] != "zh":
+        langs, own = langs.copy(), line[a:b]
+        for k in range(b - a):  # a word or two are no sentence of their own, but two words alone in their line
+            if n[k] < 3 and not own[k] and LANGS[langs[k]] != "zh":
                 langs[k] = langs[k - 1] if k else langs[k + 1]
         runs, k = [], 0
         while k < b - a:
@@ -245,7 +263,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0
     spread = lambda at, values, n: np.stack([np.bincount(at, values[:, c], n) for c in range(k)], 1)
     for phase in (0, 1):
         weights, moment = np.zeros((FEATURES, k)), np.zeros((FEATURES, k))
-        transitions = stay.copy()
+        transitions, start, first = stay.copy(), np.zeros(k), np.bincount(y[~inner], minlength=k)
         seen = np.zeros((k, k))
         np.add.at(seen, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
         for _ in range(rounds):
@@ -254,9 +272,11 @@ def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0
                 p = np.exp(emission - emission.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
             else:
-                p, pairs = forward_backward(emission, blocks, transitions, model.start, pairs=True)
+                p, pairs = forward_backward(emission, blocks, transitions, start, pairs=True)
                 # learned transitions, never quite impossible
                 transitions = np.clip(transitions + 0.2 * (seen - pairs) / (seen + pairs + 1), -8.0, 1.0)
+                expected = p[~inner].sum(0)
+                start = np.clip(start + 0.2 * (first - expected) / (first + expected + 1), -4.0, 1.0)
             residual = -p
             residual[np.arange(len(y)), y] += 1
             residual[~telling] = 0
@@ -264,7 +284,7 @@ def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0
             gradient = spread(feats, per_word[owner] * share[:, None], FEATURES) / len(sizes) - decay * weights
             moment += gradient**2
             weights += rate * gradient / np.sqrt(moment + 1e-12)
-        model = LanguageModel(weights.astype(np.float32), transitions, model.start)
+        model = LanguageModel(weights.astype(np.float32), transitions, start)
         if phase == 0:  # relabel sentence by sentence
             scores, _ = model.emissions(tokens)
             p, _ = forward_backward(scores, blocks, transitions, model.start)
@@ -283,12 +303,24 @@ def texts_of(records: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def training_sample(texts: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """At most about ``rows`` labelled texts of each language, chosen by a hash of the text: (text, language)."""
-    named = texts.withColumn("lang", label_language(F.col("label"))).where(F.col("lang").isin(*LANGS) & (F.length("text") > 20))
-    counts = {r.lang: r.n for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # six rows at most
-    share = reduce(lambda acc, kv: acc.when(F.col("lang") == kv[0], F.lit(min(1.0, rows / kv[1]))), counts.items(), F.when(F.lit(False), 0.0))
-    picked = named.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share.otherwise(0.0) * 1_000_003).select("text", "lang")
-    return sorted((r.text, r.lang) for r in picked.limit(3 * rows * len(LANGS)).collect())
+    """The ``rows`` different labelled texts of each language with the smallest hashes: (text, language).
+
+    Only a share of the hashes is looked at, larger by turns until there are enough texts: copies of one text count
+    once, whatever their number. The same table gives the same sample.
+    """
+    at = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
+    named = texts.withColumns({"lang": label_language(F.col("label")), "at": at}).where(F.col("lang").isin(*LANGS) & (F.length("text") > 20))
+    share = {r.lang: min(1.0, 4 * rows / r.n) for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # six rows at most
+    while share:
+        bound = reduce(lambda acc, kv: acc.when(F.col("lang") == kv[0], F.lit(kv[1])), share.items(), F.when(F.lit(False), 0.0))
+        picked = stage(named.where(F.col("at") < bound.otherwise(0.0)).groupBy("lang", "at").agg(F.any_value("text").alias("text")))
+        found = {r.lang: r.n for r in picked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [lang for lang, part in share.items() if part < 1 and found.get(lang, 0) < rows]
+        if not few:
+            parts = [picked.where(F.col("lang") == lang).orderBy("at").limit(rows) for lang in sorted(share)]
+            return sorted((r.text, r.lang) for r in reduce(DataFrame.unionByName, parts).collect())
+        share.update({lang: min(1.0, 8 * share[lang]) for lang in few})
+    return []
 
 
 def detect(texts: DataFrame, model: LanguageModel) -> DataFrame:

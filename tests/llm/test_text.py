@@ -86,6 +86,36 @@ def test_segments(model):
     assert langs(model, long) == [["en", "de"]]
 
 
+def test_every_letter_run_of_a_token_counts():
+    token = "-".join(["and", "und", "et", "y", "e", "of", "Schlafstörungen", "Pflegekräfte"])
+    assert len(language.features_of(token)) > len(language.features_of("-".join(token.split("-")[:6])))
+    assert language.features_of("und") != language.features_of("undx") and "#de" in language._LEXICON["und"]
+
+
+def test_long_texts_are_one_chain(model):
+    """Marginals of words far apart depend on each other as in one chain, not as in pieces of it."""
+    tokens = language.words_of(" ".join(SAMPLE["en"] * 20))
+    scores, _ = model.emissions(tokens)
+    whole, _ = language.forward_backward(scores, np.array([len(tokens)]), model.transitions, model.start)
+    confidence = language.segments(model, [" ".join(SAMPLE["en"] * 20)])[0][0][1]
+    _, flags = model.emissions(tokens)
+    assert abs(whole[(flags & 4) == 0, 0].mean() - confidence) < 1e-6
+
+
+def test_a_title_of_two_words_is_a_sentence(model):
+    title, abstract = "Patienten Ergebnisse", " ".join(SAMPLE["en"])
+    assert langs(model, f"{title}\n{abstract}") == [["de", "en"]]
+    assert langs(model, f"{abstract} {title}", f"Patienten\n{abstract}") == [["en"], ["en"]]
+
+
+def test_the_sample_has_every_language_and_each_text_once(spark):
+    rows = [(SAMPLE["en"][0], "en")] * 3000 + [(f"{SAMPLE['en'][1]} {i}", "en") for i in range(400)] + [(f"{x} {i}", lang) for lang in ("de", "fr") for x in SAMPLE[lang] for i in range(2)]
+    texts = spark.createDataFrame([("documents", i, lang, t) for i, (t, lang) in enumerate(rows)], "src string, row_id long, label string, text string")
+    got = language.training_sample(texts, 50)
+    assert len(set(got)) == len(got) and {k: sum(lang == k for _, lang in got) for k in ("en", "de", "fr")} == {"en": 50, "de": 6, "fr": 6}
+    assert got == language.training_sample(texts.orderBy("row_id"), 50) and not language.training_sample(texts.limit(0))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     k = len(language.LANGS)
