@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import os
+import zipfile
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
+from xml.etree.ElementTree import ParseError
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions.text import NA_LITERALS, collapse_ws, extract_year, normalize_colname, normalize_doi, safe_str
-from sieveline.sources.tagged import GRAMMARS, parse_tagged, read_whole, sniff
+from sieveline.sources.tagged import GRAMMARS, parse_tagged, read_heads, read_pieces, sniff
 from sieveline.sources.xlsx import read_xlsx
 
 # File types, canonical columns, and the names exports use for them.
@@ -72,10 +76,10 @@ def clean_records(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, paths: list[str], ext: str, na_literals: bool = True) -> DataFrame:
     """Rows of table files of one extension as strings, with ``_path``; ``_bad`` marks broken ones."""
     if ext in (".csv", ".tsv"):
-        heads = read_whole(spark, paths).select("path", F.split("value", r"\r\n|\r|\n")[0].alias("head")).collect()
+        heads = {_plain_path(unquote(r["path"])): r["value"] for r in read_heads(spark, paths, 1).collect()}  # one line per file
         groups: dict[str, list[str]] = defaultdict(list)
-        for row in heads:  # one row per file
-            groups[row["head"].lstrip("﻿")].append(row["path"])
+        for path in paths:
+            groups[heads.get(path, "").lstrip("﻿")].append(path)
         frames = []
         for group in groups.values():
             got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
@@ -96,42 +100,66 @@ def read_table(spark: SparkSession, paths: list[str], ext: str, na_literals: boo
 
         @F.pandas_udf("array<map<string,string>>")
         def sheet(contents: pd.Series) -> pd.Series:
-            return contents.map(read_xlsx)
+            def one(content: bytes) -> list | None:
+                try:
+                    return read_xlsx(content)
+                except (zipfile.BadZipFile, ParseError, KeyError, IndexError, ValueError):
+                    return None
+
+            return contents.map(one)
 
-        cells = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("_path"), F.explode(sheet("content")).alias("_row"))
+        files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_path"), sheet("content").alias("_rows"))
+        broken = F.col("_rows").isNull()
+        cells = files.select("_path", broken.alias("_bad"), F.explode(F.when(broken, F.array(F.create_map().cast("map<string,string>"))).otherwise(F.col("_rows"))).alias("_row"))
         names = [r[0] for r in cells.select(F.explode(F.map_keys("_row")).alias("n")).distinct().collect()]  # header names
-        out = cells.select("_path", *[F.col("_row")[n].alias(n) for n in sorted(names)]).withColumn("_bad", F.lit(False))
+        out = cells.select("_path", "_bad", *[F.col("_row")[n].alias(n) for n in sorted(names)])
     if na_literals:
         out = out.withColumns({c: F.when(~F.col(f"`{c}`").isin(*NA_LITERALS), F.col(f"`{c}`")) for c in out.columns if c not in ("_path", "_bad")})
     return out
 
 
 def _plain_path(path: str) -> str:
-    return path[5:].replace("///", "/") if path.startswith("file:") else path
+    """A local path without its scheme, any other as it is."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """The file at ``path``, or all supported files below the folder, sorted; on any file system that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
+    if not system.exists(hadoop):
+        raise LoadError(f"no such file or folder: {path}")
+    if system.getFileStatus(hadoop).isFile():
+        return [_plain_path(hadoop.makeQualified(system.getUri(), system.getWorkingDirectory()).toString())]
+    found, files = system.listFiles(hadoop, True), []
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        if os.path.splitext(name)[1].lower() in EXTENSIONS:
+            files.append(_plain_path(name))
+    if not files:
+        raise LoadError(f"no supported files in {path}")
+    return sorted(files)
 
 
 def load_records(spark: SparkSession, path: str, extra_aliases: dict[str, str] | None = None,
                  na_literals: bool = True) -> tuple[DataFrame, DataFrame]:
     """(records, parse log) of a file or of all supported files below a folder, by full path.
 
-    A file that can't be read is logged as failed and left out; if nothing is left, ``LoadError``.
-    Files of one format are read together, one task or more per file.
+    ``path`` is a local path or a URI of any file system that Spark reads. A file that can't be read is logged as
+    failed and left out; if nothing is left, ``LoadError``. Files of one format are read together; a large CSV,
+    JSONL or tagged file by several tasks. The log has one row per file and is made on the driver.
     """
-    path = os.path.abspath(os.path.expanduser((path or "").strip()))
-    if os.path.isdir(path):
-        files = sorted(os.path.join(root, n) for root, _, names in os.walk(path) for n in names if os.path.splitext(n)[1].lower() in EXTENSIONS)
-        if not files:
-            raise LoadError(f"no supported files in {path}")
-    elif os.path.exists(path):
-        files = [path]
-    else:
-        raise LoadError(f"no such file or folder: {path}")
+    path = os.path.expanduser((path or "").strip())
+    if not path:
+        raise LoadError("no path")
+    files = list_files(spark, path if "://" in path or path.startswith("file:") else os.path.abspath(path))
     log = {f: [os.path.basename(f), f, "", "success", 0, ""] for f in files}
     by_format: dict[str, list[str]] = defaultdict(list)
     texts = [f for f in files if f.lower().endswith(".txt")]
     if texts:
-        for row in read_whole(spark, texts).select("path", sniff(F.col("value")).alias("kind")).collect():  # one row per file
-            by_format[row["kind"]].append(_plain_path(row["path"]))
+        kinds = {_plain_path(unquote(r["path"])): r["kind"] for r in read_heads(spark, texts).select("path", sniff(F.col("value")).alias("kind")).collect()}  # one row per file
+        for f in texts:
+            by_format[kinds.get(f, "unknown_txt")].append(f)
     for f in files:
         ext = os.path.splitext(f)[1].lower()
         if ext in (".ris", ".nbib"):
@@ -145,10 +173,10 @@ def load_records(spark: SparkSession, path: str, extra_aliases: dict[str, str] |
 
     def take(kind: str, group: list[str]) -> None:
         if kind in GRAMMARS:
-            raw = parse_tagged(read_whole(spark, group), GRAMMARS[kind]).withColumnRenamed("path", "_path").drop("rec").withColumn("_bad", F.lit(False))
+            raw = parse_tagged(read_pieces(spark, group, GRAMMARS[kind]), GRAMMARS[kind]).withColumnRenamed("path", "_path").drop("piece", "rec").withColumn("_bad", F.lit(False))
         else:
             raw = read_table(spark, group, "." + kind.rsplit("_", 1)[1], na_literals)
-        counts = {_plain_path(r["_path"]): (r["n"], r["bad"]) for r in raw.groupBy("_path").agg(
+        counts = {_plain_path(unquote(r["_path"])): (r["n"], r["bad"]) for r in raw.groupBy("_path").agg(
             F.count("*").alias("n"), F.max("_bad").alias("bad")).collect()}  # one row per file
         broken = [f for f in group if counts.get(f, (0, False))[1]]
         for f in group:
@@ -157,24 +185,28 @@ def load_records(spark: SparkSession, path: str, extra_aliases: dict[str, str] |
                 fail(f, "malformed content")
             else:
                 log[f][4] = counts.get(f, (0, False))[0]
-        plain = F.replace(F.regexp_replace("_path", "^file:", ""), F.lit("///"), F.lit("/"))
+        name = F.try_url_decode(F.replace("_path", F.lit("+"), F.lit("%2B")))  # a path is no form: its plus stays
+        plain = F.regexp_replace(name, "^file:/*", "/")
         kept = raw.where(~plain.isin(*broken)) if broken else raw
         frames.append(clean_records(standardize(kept.drop("_bad"), extra_aliases).withColumns(
-            {"source_file": F.element_at(F.split("_path", "/"), -1), "source_format": F.lit(kind), "_path": plain})))
+            {"source_file": F.element_at(F.split(plain, "/"), -1), "source_format": F.lit(kind), "_path": plain})))
 
     for kind, group in sorted(by_format.items()):
         if kind in ("unknown_txt", "unsupported"):
             for f in group:
                 fail(f, "undetected export format" if kind == "unknown_txt" else "unsupported file type")
             continue
-        try:
-            take(kind, group)
-        except Exception:  # noqa: BLE001
-            for f in group:  # find the one that breaks
-                try:
-                    take(kind, [f])
-                except Exception as e:  # noqa: BLE001
-                    fail(f, str(e).split("\n", 1)[0])
+        halves = [group]
+        while halves:
+            part = halves.pop()
+            try:
+                take(kind, part)
+            except (AnalysisException, LoadError) as e:  # names that clash within a file: found by halving
+                if len(part) == 1 or isinstance(e, LoadError):
+                    for f in part:
+                        fail(f, str(e).split("\n", 1)[0])
+                else:
+                    halves += [part[: len(part) // 2], part[len(part) // 2 :]]
     if not frames or not any(row[4] for row in log.values()):
         raise LoadError("no file could be parsed; see the parse log")
     records = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

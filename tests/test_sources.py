@@ -5,7 +5,7 @@ import pytest
 
 from sieveline.sources.load import LoadError, load_records
 from sieveline.sources.sinks import write_results
-from sieveline.sources.tagged import PUBMED, RIS, WOS, parse_tagged, sniff
+from sieveline.sources.tagged import PUBMED, RIS, WOS, parse_tagged, read_pieces, sniff
 from sieveline.sources.xlsx import read_xlsx, write_xlsx
 
 
@@ -68,6 +68,44 @@ def test_folder(spark, tmp_path):
     assert [r.full_path for r in log.collect()] == sorted(r.full_path for r in log.collect())
 
 
+def test_paths_are_uris_with_any_characters(spark, tmp_path):
+    d = tmp_path / "in put+ä%20"
+    d.mkdir()
+    (d / "a b.csv").write_text("title\nT1\n")
+    (d / "c+%41.ris").write_text("TY  - J\nTI  - T2\nER  - \n")
+    for path in (str(d), f"file://{d}", f"file:{d}/a b.csv"):
+        records, log = load_records(spark, path)
+        want = {"a b.csv": "T1"} if path.endswith("csv") else {"a b.csv": "T1", "c+%41.ris": "T2"}
+        assert {r.source_file: r.title for r in records.collect()} == want
+        assert [(r.source_file, r.record_count, r.full_path) for r in log.collect()] == [(f, 1, str(d / f)) for f in sorted(want)]
+
+
+def test_one_large_tagged_file_is_many_tasks(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for name, form in (("r.ris", "TY  - J\nTI  - Title {i}\n  \nKW  - a\nDO  - 10.1/{i}\nER  - \n\n"), ("p.nbib", "\nPMID- {i}\nTI  - Title\n      {i}\nOT  - a\nAID - 10.1/{i} [doi]\n"),
+                           ("w.txt", "PT J\nAU Doe, A\n   Roe, B\nTI Title\n   {i}\nDE a\nDI 10.1/{i}\nER\n\n")):
+            (tmp_path / name).write_text("".join(form.replace("{i}", str(i)) for i in range(3000)))
+            grammar = {"r.ris": RIS, "p.nbib": PUBMED, "w.txt": WOS}[name]
+            assert read_pieces(spark, [str(tmp_path / name)], grammar).rdd.getNumPartitions() > 4
+            records, log = load_records(spark, str(tmp_path / name))
+            assert sorted((r.title, r.keywords, r.doi) for r in records.collect()) == sorted((f"Title {i}", "a", f"10.1/{i}") for i in range(3000))
+            assert log.first().record_count == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_broken_sheet_fails_alone(spark, tmp_path):
+    write_xlsx(str(tmp_path / "a.xlsx"), ["Title"], [("X",)])
+    (tmp_path / "b.xlsx").write_bytes(b"no zip")
+    (tmp_path / "c.json").write_text('[{"title": "J", "Title": "K"}]')
+    (tmp_path / "d.json").write_text('[{"title": "L"}]')
+    records, log = load_records(spark, str(tmp_path))
+    assert {r.title for r in records.collect()} == {"X", "L"}
+    assert {r.source_file: r.status for r in log.collect()} == {"a.xlsx": "success", "b.xlsx": "failed", "c.json": "failed", "d.json": "success"}
+
+
 def test_errors(spark, tmp_path):
     with pytest.raises(LoadError):
         load_records(spark, str(tmp_path))
