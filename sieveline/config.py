@@ -207,17 +207,46 @@ def mode_rules(mode: RuleMode | str = RuleMode.MODERATE, topic: str = "general")
                    list(boundary), list(low), {k: list(v) for k, v in kinds.items()}, rule_mode=mode)
 
 
-def mode_description(mode: RuleMode | str, language: str = "chinese") -> dict[str, str]:
-    info = MODE_INFO[as_mode(mode)]
-    name, short = info["zh" if language == "chinese" else "en"]
-    return {"name": name, "short_name": short, "precision_target": info["precision"], "recall_target": info["recall"],
-            "use_case": info["use"]}
+#: What a mode stands for, in own words: (summary, high rules, boundary rules, what to expect), Chinese and English.
+MODE_TEXTS = {
+    RuleMode.STRICT: {
+        "zh": ("以精度为先", "三到四个条件同时成立", "两到三个条件同时成立", ("很少误收", "会漏掉表述不全的文献", "高相关须多条件并存", "边界同样须多条件", "低相关直接排除")),
+        "en": ("precision first", "three or four conditions at once", "two or three conditions at once",
+               ("few false hits", "misses records with terse abstracts", "high needs several conditions", "boundary does as well", "low is excluded at once"))},
+    RuleMode.MODERATE: {
+        "zh": ("精度与召回兼顾", "两到三个条件同时成立", "一到两个条件", ("误收与漏检相当", "高相关条件适中", "边界较宽", "适用面广", "默认模式")),
+        "en": ("precision and recall in balance", "two or three conditions at once", "one or two conditions",
+               ("false hits and misses alike", "moderate conditions for high", "a wider boundary", "fits most topics", "the default"))},
+    RuleMode.LOOSE: {
+        "zh": ("以召回为先", "一到两个条件即可", "单个条件即可", ("很少漏检", "需要较多人工复核", "高相关可为单条件", "边界很宽", "只排除明显无关者")),
+        "en": ("recall first", "one or two conditions", "a single condition",
+               ("few misses", "more records to review by hand", "one condition may make high", "a very wide boundary", "only clear mismatches are excluded"))},
+}
+_TABLE = {"zh": ("指标", "精度目标", "召回目标", "高相关规则", "边界规则", "适用场景"), "en": ("measure", "precision", "recall", "high rules", "boundary rules", "use")}
+
+
+def mode_description(mode: RuleMode | str, language: str = "chinese") -> dict[str, str | list[str]]:
+    """Name, targets, rule complexity, use and characteristics of a mode; an unknown mode is the moderate one."""
+    mode, lang = as_mode(mode), "zh" if language == "chinese" else "en"
+    info, (summary, high, boundary, traits) = MODE_INFO[mode], MODE_TEXTS[mode][lang]
+    name, short = info[lang]
+    return {"name": name, "short_name": short, "description": summary, "precision_target": info["precision"], "recall_target": info["recall"],
+            "use_case": info["use"], "high_rule_complexity": high, "boundary_rule_complexity": boundary, "characteristics": list(traits)}
 
 
-def mode_comparison(language: str = "chinese") -> list[dict[str, str]]:
+def mode_comparison(language: str = "chinese") -> list[dict[str, str | list[str]]]:
     return [{"mode": m.value} | mode_description(m, language) for m in RuleMode]
 
 
+def mode_table(language: str = "chinese") -> str:
+    """The modes side by side as a Markdown table: a row per measure."""
+    modes = mode_comparison(language)
+    keys = ("precision_target", "recall_target", "high_rule_complexity", "boundary_rule_complexity", "use_case")
+    head, *labels = _TABLE["zh" if language == "chinese" else "en"]
+    rows = [[head, *[m["name"] for m in modes]], ["-"] * (len(modes) + 1), *[[label, *[m[k] for m in modes]] for label, k in zip(labels, keys)]]
+    return "\n".join("| " + " | ".join(r) + " |" for r in rows)
+
+
 def example_rule_set() -> RuleSet:
     """A small rule set that shows joined conditions."""
     # The patterns of the example.

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.config import LLMConfig, RuleMode, RuleSet, as_mode
+from sieveline.config import LLMConfig, RuleGenerationConfig, RuleMode, RuleSet, as_mode
 
 # Chat endpoints by provider name (others that speak the same protocol need ``base_url``), and the levels a reply may name.
 BASE_URLS = {
@@ -41,6 +41,48 @@ def parse_json(reply: str) -> Any:
         raise SemanticError(f"reply is not JSON: {e}") from e
 
 
+_PROMPTS = {
+    "english": {
+        "role": "You prepare screening patterns for a literature search. Topic: {topic}. Field: {domain}.",
+        RuleMode.STRICT: "Precision counts most. Each high pattern joins three or four conditions, each boundary pattern two or three; name whatever excludes a record.",
+        RuleMode.MODERATE: "Balance precision and recall. High patterns join two or three conditions, boundary patterns one or two.",
+        RuleMode.LOOSE: "Recall counts most. A high pattern may be one condition, boundary patterns are single terms; exclude only clear mismatches.",
+        "form": "Conditions are regular expressions joined by ' + ', all of which must match title, abstract or keywords. Give synonyms and spelling variants as patterns of their own. "
+                "Reply with nothing but a JSON object of the lists high_relevance_patterns, boundary_patterns and low_relevance_patterns.",
+        "samples": "Records of the collection:", "feedback": "Change the patterns below as asked. Keep the form.\nPatterns: {rules}\nAsked: {feedback}",
+    },
+    "chinese": {
+        "role": "请为文献检索准备筛选条件。主题：{topic}。领域：{domain}。",
+        RuleMode.STRICT: "以精度为先：每条高相关规则由三到四个条件组成，边界规则由两到三个条件组成，并列出排除条件。",
+        RuleMode.MODERATE: "兼顾精度与召回：高相关规则两到三个条件，边界规则一到两个条件。",
+        RuleMode.LOOSE: "以召回为先：高相关规则可以只有一个条件，边界规则为单个词，只排除明显无关的文献。",
+        "form": "条件为正则表达式，用“ + ”连接，须全部在标题、摘要或关键词中出现；同义词和不同写法各写一条。"
+                "只回复一个 JSON 对象，含 high_relevance_patterns、boundary_patterns、low_relevance_patterns 三个列表。",
+        "samples": "文献示例：", "feedback": "请按要求修改下列规则，格式不变。\n规则：{rules}\n要求：{feedback}",
+    },
+}
+
+
+def _wording(language: str) -> dict:
+    return _PROMPTS["chinese" if language.lower() in ("chinese", "zh", "中文") else "english"]
+
+
+def rule_prompt(topic: str, samples: list[str] | None = None, domain: str = "general", language: str = "english",
+                rule_mode: RuleMode | str = RuleMode.MODERATE, max_samples: int = 3) -> str:
+    """What is asked for rule suggestions, by language and mode, with at most ``max_samples`` records as examples."""
+    words = _wording(language)
+    shown = [words["samples"], *[f"- {s}" for s in (samples or [])[:max_samples]]] if samples else []
+    return "\n".join([words["role"].format(topic=topic, domain=domain), words[as_mode(rule_mode)], words["form"], *shown])
+
+
+def _number(value: object, default: float) -> float:
+    """A number of a reply; anything else counts as ``default``."""
+    try:
+        return float(value)  # type: ignore[arg-type]
+    except (TypeError, ValueError):
+        return default
+
+
 class SemanticClient:
     """Prompts and reply handling over ``complete(prompt) -> str``, which a subclass supplies."""
 
@@ -51,15 +93,11 @@ class SemanticClient:
         raise NotImplementedError
 
     def suggest_rules(self, topic: str, samples: list[str] | None = None, domain: str = "general",
-                      language: str = "english", rule_mode: RuleMode | str = RuleMode.MODERATE) -> dict[str, list[str]]:
-        shown = "".join(f"\nSample: {s}" for s in (samples or [])[:3])
-        return parse_json(self.complete(
-            f"Suggest screening patterns for the topic {topic!r} in {domain}, answer in {language}, {as_mode(rule_mode).value} mode. "
-            "Join conditions with ' + '. Reply as JSON with the lists high_relevance_patterns, boundary_patterns "
-            f"and low_relevance_patterns.{shown}"))
+                      language: str = "english", rule_mode: RuleMode | str = RuleMode.MODERATE, max_samples: int = 3) -> dict[str, list[str]]:
+        return parse_json(self.complete(rule_prompt(topic, samples, domain, language, rule_mode, max_samples)))
 
     def refine_rules(self, rules: dict[str, list[str]], feedback: str, language: str = "english") -> dict[str, list[str]]:
-        return parse_json(self.complete(f"Change these rules, in {language}: {json.dumps(rules, ensure_ascii=False)}\nFeedback: {feedback}"))
+        return parse_json(self.complete(_wording(language)["feedback"].format(rules=json.dumps(rules, ensure_ascii=False), feedback=feedback)))
 
     def analyze(self, title: str, abstract: str, topic: str) -> dict[str, Any]:
         return parse_json(self.complete(
@@ -70,14 +108,18 @@ class SemanticClient:
         got = parse_json(self.complete(
             f"Is this relevant to {topic!r}?\nTitle: {title}\nAbstract: {abstract}\n"
             "Reply as JSON: judgment (high, boundary or low), confidence (0-1), reason."))
-        return {"judgment": LEVELS.get(got.get("judgment", ""), LEVELS["boundary"]),
-                "confidence": float(got.get("confidence", 0.5)), "reason": str(got.get("reason", ""))}
+        if not isinstance(got, dict):
+            raise SemanticError("reply is no JSON object")
+        return {"judgment": LEVELS.get(str(got.get("judgment", "")), LEVELS["boundary"]),
+                "confidence": _number(got.get("confidence", 0.5), 0.5), "reason": str(got.get("reason") or "")}
 
     def classify_batch(self, documents: list[dict[str, str]], topic: str) -> list[dict[str, Any]]:
         listed = "\n".join(f"[{i}] {d.get('title') or ''}: {d.get('abstract') or ''}" for i, d in enumerate(documents))
         got = parse_json(self.complete(f"Classify each for {topic!r}, as a JSON list of judgment, confidence, reason.\n{listed}"))
         if isinstance(got, dict):
             got = next((got[k] for k in ("results", "documents", "data", "items") if isinstance(got.get(k), list)), [])
+        if not isinstance(got, list):
+            raise SemanticError("reply is no JSON list")
         fill = {"judgment": "boundary", "confidence": 0.5, "reason": ""}
         return [fill | (x if isinstance(x, dict) else {}) for x in [*got, *[{}] * len(documents)][: len(documents)]]
 
@@ -102,7 +144,7 @@ class HttpClient(SemanticClient):
 class MockClient(SemanticClient):
     """Constant replies, for tests and dry runs."""
 
-    def suggest_rules(self, topic, samples=None, domain="general", language="english", rule_mode=RuleMode.MODERATE):  # noqa: ANN001, ANN201
+    def suggest_rules(self, topic, samples=None, domain="general", language="english", rule_mode=RuleMode.MODERATE, max_samples=3):  # noqa: ANN001, ANN201
         return {"high_relevance_patterns": [topic], "boundary_patterns": ["observational"], "low_relevance_patterns": ["editorial"]}
 
     def refine_rules(self, rules, feedback, language="english"):  # noqa: ANN001, ANN201
@@ -131,9 +173,11 @@ def rules_from(reply: dict[str, list[str]], name: str = "suggested") -> RuleSet:
     return RuleSet(name, "", *[list(reply.get(k, [])) for k in ("high_relevance_patterns", "boundary_patterns", "low_relevance_patterns")])
 
 
-def generate_rules(client: SemanticClient, topic: str, fallback: list[RuleSet], attempts: int = 4, **how: Any) -> list[RuleSet]:
-    """Rule sets of a topic; after ``attempts`` failures the fallback. Each retry waits half as long again."""
-    for _ in range(attempts):
+def generate_rules(client: SemanticClient, topic: str, fallback: list[RuleSet], config: RuleGenerationConfig | None = None, **how: Any) -> list[RuleSet]:
+    """Rule sets of a topic; after ``config.max_attempts`` failures the fallback. Each retry waits half as long again."""
+    config = config or RuleGenerationConfig()
+    how = {"language": config.language, "rule_mode": config.rule_mode, "max_samples": config.max_samples} | how
+    for _ in range(config.max_attempts):
         try:
             return [rules_from(client.suggest_rules(topic, **how))]
         except SemanticError:
@@ -159,25 +203,54 @@ def classify_documents(df: DataFrame, make_client: Callable[[], SemanticClient],
                     got = client.classify_batch(part, topic)
                 except SemanticError as e:
                     got = [{"judgment": "boundary", "confidence": 0.0, "reason": str(e)}] * len(part)
-                out += [(r[key], g["judgment"], float(g["confidence"]), g["reason"]) for r, g in zip(part, got)]
+                out += [(r[key], str(g["judgment"] or "boundary"), _number(g["confidence"], 0.5), str(g["reason"] or "")) for r, g in zip(part, got)]
             yield pd.DataFrame(out, columns=[key, "judgment", "confidence", "reason"])
 
     kind = df.schema[key].dataType.simpleString()
-    slim = df.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")])
-    return slim.mapInPandas(run, f"{key} {kind}, judgment string, confidence double, reason string")
+    return _slim(df, key).mapInPandas(run, f"{key} {kind}, judgment string, confidence double, reason string")
+
+
+def _slim(df: DataFrame, key: str) -> DataFrame:
+    return df.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")])
+
+
+def classify_boundary(df: DataFrame, make_client: Callable[[], SemanticClient], topic: str, key: str = "record_id") -> DataFrame:
+    """(key, judgment, confidence, reason), one call for each document; the judgment is a screening level.
+
+    A failing call gives the boundary level with confidence 0 and the error as reason.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for frame in frames:
+            out = []
+            for k, title, abstract in zip(frame[key], frame["title"], frame["abstract"]):
+                try:
+                    got = client.classify(title, abstract, topic)
+                except SemanticError as e:
+                    got = {"judgment": LEVELS["boundary"], "confidence": 0.0, "reason": str(e)}
+                out.append((k, got["judgment"], got["confidence"], got["reason"]))
+            yield pd.DataFrame(out, columns=[key, "judgment", "confidence", "reason"])
+
+    return _slim(df, key).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, judgment string, confidence double, reason string")
 
 
 def analyze_documents(df: DataFrame, make_client: Callable[[], SemanticClient], topic: str, key: str = "record_id") -> DataFrame:
-    """(key, tags, summary, relevance_score, document_type)."""
+    """(key, tags, summary, relevance_score, document_type); a failing call gives no tags, score 0 and the error as summary."""
+    def one(client: SemanticClient, title: str, abstract: str) -> tuple:
+        try:
+            got = client.analyze(title, abstract, topic)
+            if not isinstance(got, dict):
+                raise SemanticError("reply is no JSON object")
+        except SemanticError as e:
+            got = {"summary": str(e)}
+        tags = got.get("tags")
+        return ([str(t) for t in tags] if isinstance(tags, list) else [], str(got.get("summary") or ""), _number(got.get("relevance_score"), 0.0), str(got.get("document_type") or ""))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for frame in frames:
-            got = [client.analyze(t, a, topic) for t, a in zip(frame["title"], frame["abstract"])]
-            yield pd.DataFrame({key: frame[key], "tags": [list(g.get("tags", [])) for g in got],
-                                "summary": [g.get("summary", "") for g in got],
-                                "relevance_score": [float(g.get("relevance_score", 0)) for g in got],
-                                "document_type": [g.get("document_type", "") for g in got]})
+            got = [(k, *one(client, t, a)) for k, t, a in zip(frame[key], frame["title"], frame["abstract"])]
+            yield pd.DataFrame(got, columns=[key, "tags", "summary", "relevance_score", "document_type"])
 
     kind = df.schema[key].dataType.simpleString()
-    slim = df.select(key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "abstract")])
-    return slim.mapInPandas(run, f"{key} {kind}, tags array<string>, summary string, relevance_score double, document_type string")
+    return _slim(df, key).mapInPandas(run, f"{key} {kind}, tags array<string>, summary string, relevance_score double, document_type string")

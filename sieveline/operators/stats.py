@@ -83,13 +83,32 @@ def level_summary(df: DataFrame) -> DataFrame:
         F.col("value").alias("screening_level"), "n", _share("n").alias("percentage"))
 
 
-def describe(stats: DataFrame, title: str) -> str:
-    """A one-row statistics frame as text, with the alerts a person should see."""
+#: Which measures of the stages call for a person: (stage, measure, holds, what to say).
+ALERTS = (
+    ("rules", "rule_boundary_count", lambda v, _: v > 0, "{v} boundary records need attention"),
+    ("rules", "needs_review_percentage", lambda v, _: v > 30, "more than 30 % need review; a stricter rule mode may fit better"),
+    ("tfidf", "below_low", lambda v, r: 2 * v > (r.get("n_scores") or 0), "more than half lie below the low threshold; the seeds may not fit"),
+    ("tfidf", "max", lambda v, _: v is not None and v == 0, "no record shares a term with the seeds"),
+    ("rank", "selected", lambda v, _: v == 0, "no record was selected"),
+    ("review", "undecided", lambda v, _: v > 0, "{v} records are still undecided"),
+)
+
+
+def describe(stats: DataFrame, title: str, stage: str | None = None) -> str:
+    """A one-row statistics frame as text, with the alerts of its ``stage`` (all if none is named)."""
     row = stats.first()
     data = row.asDict() if row else {}
     lines = [title, *[f"  {k}: {v:.4f}" if isinstance(v, float) else f"  {k}: {v}" for k, v in data.items()]]
-    if data.get("rule_boundary_count", 0) > 0:
-        lines.append(f"  ! {data['rule_boundary_count']} boundary records need attention")
-    if data.get("needs_review_percentage", 0) > 30:
-        lines.append("  ! more than 30 % need review; a stricter rule mode may fit better")
+    for of, measure, holds, text in ALERTS:
+        value = data.get(measure)
+        if stage in (None, of) and measure in data and (value is not None or measure == "max") and holds(value, data):
+            lines.append("  ! " + text.format(v=value))
     return "\n".join(lines)
+
+
+def print_stage(stats: DataFrame, stage: str) -> str:
+    """Print and return the summary of a stage: rules, tfidf, rank or review."""
+    titles = {"rules": "Rule screening", "tfidf": "Similarity to the seeds", "rank": "Rank", "review": "Review by people"}
+    text = describe(stats, titles.get(stage, stage), stage)
+    print(text)
+    return text

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.config import LLMConfig, RuleSet, ScreeningConfig, preset_rules
+from sieveline.config import RuleSet, ScreeningConfig, preset_rules
 from sieveline.functions.text import collapse_ws, dedup_key, extract_year, normalize_doi, safe_str, text_blob
 from sieveline.operators import stats
 from sieveline.operators.dedup import dedup_records
@@ -16,7 +16,6 @@ from sieveline.operators.packed import split_packed
 from sieveline.operators.ranks import rank_filter, rank_judgment, rank_score
 from sieveline.operators.review import apply_decisions, batch_review, undecided_documents
 from sieveline.operators.rules import rule_judgment, rule_screening
-from sieveline.operators.semantic import analyze_documents, classify_documents, semantic_client
 from sieveline.operators.tfidf import tfidf_scores, tfidf_scoring, tfidf_threshold
 from sieveline.plans.pipeline import rules_only, screen
 from sieveline.sources.load import clean_records, standardize
@@ -153,14 +152,6 @@ def sniffed(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("written", "found").agg(F.count("*").alias("n"))
 
 
-def semantic_classify(spark: SparkSession, d: str) -> DataFrame:
-    return classify_documents(_t(spark, d, "records"), lambda: semantic_client(LLMConfig()), "insomnia")
-
-
-def semantic_analyze(spark: SparkSession, d: str) -> DataFrame:
-    return analyze_documents(_t(spark, d, "records"), lambda: semantic_client(LLMConfig()), "insomnia")
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Each value of the packed author and keyword fields."""
     return split_packed(_t(spark, d, "records"), "record_id", {"author": "names", "keywords": "terms"}).select(
@@ -222,8 +213,6 @@ QUERIES: dict[str, Query] = {
     "nbib_parse": nbib_parse,
     "wos_parse": wos_parse,
     "sniff_format": sniffed,
-    "semantic_classify": semantic_classify,
-    "semantic_analyze": semantic_analyze,
     "p1_found": p1_found,
     "p1_errors": p1_errors,
     "p3_found": p3_found,

@@ -68,6 +68,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted with the staged files."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def clean_staged() -> None:
     """Delete what ``stage`` has written; only after the results that need it are computed."""
     while _staged:

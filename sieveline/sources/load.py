@@ -90,7 +90,12 @@ def read_table(spark: SparkSession, paths: list[str], ext: str, na_literals: boo
     elif ext in (".json", ".jsonl"):
         got = spark.read.option("multiLine", ext == ".json").option("primitivesAsString", True).option(
             "columnNameOfCorruptRecord", "_corrupt").json(paths).withColumn("_path", F.col("_metadata.file_path"))
-        bad = F.col("_corrupt").isNotNull() if "_corrupt" in got.columns else F.lit(False)
+        bad, others = F.lit(False), [c for c in got.columns if c not in ("_corrupt", "_path")]
+        if "_corrupt" in got.columns:
+            if not others:
+                raise LoadError("malformed content")
+            # Spark reads the corrupt record only beside another column
+            bad = F.col("_corrupt").isNotNull() & (F.length(F.isnull(f"`{others[0]}`").cast("string")) > 0)
         plain = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f"`{f.name}`")
                  for f in got.schema.fields if f.name != "_corrupt"]
         return got.withColumn("_bad", bad).select(*plain, "_bad")
@@ -180,7 +185,6 @@ def load_records(spark: SparkSession, path: str, extra_aliases: dict[str, str] |
             F.count("*").alias("n"), F.max("_bad").alias("bad")).collect()}  # one row per file
         broken = [f for f in group if counts.get(f, (0, False))[1]]
         for f in group:
-            log[f][2] = kind
             if f in broken:
                 fail(f, "malformed content")
             else:
@@ -196,6 +200,8 @@ def load_records(spark: SparkSession, path: str, extra_aliases: dict[str, str] |
             for f in group:
                 fail(f, "undetected export format" if kind == "unknown_txt" else "unsupported file type")
             continue
+        for f in group:
+            log[f][2] = kind
         halves = [group]
         while halves:
             part = halves.pop()

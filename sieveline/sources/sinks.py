@@ -1,30 +1,61 @@
-"""Writing results as one CSV, XLSX or JSON file, or as a Parquet folder."""
+"""Writing results as one CSV, XLSX or JSON file, or as a Parquet folder, on any file system that Spark writes."""
 
 from __future__ import annotations
 
 import csv
+import io
 import json
+from typing import IO
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.sources.xlsx import write_xlsx
 
 
+class _Remote(io.RawIOBase):
+    """A file of a Hadoop file system, for writing."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        self.stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)  # noqa: SLF001
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:  # noqa: ANN001
+        self.stream.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.stream.close()
+        super().close()
+
+
+def _open(spark: SparkSession, path: str) -> IO[bytes]:
+    """``path`` for writing bytes: a local path, or a URI of any file system."""
+    local = "://" not in path and not path.startswith("file:")
+    return open(path, "wb") if local else io.BufferedWriter(_Remote(spark, path), 1 << 20)
+
+
 def write_results(df: DataFrame, path: str, order: str | None = "record_id") -> str:
     """Write one file by the extension of ``path`` and return the path written.
 
     ``.csv`` has a BOM, ``.json`` is an indented array; an unknown extension gets ``.csv`` appended. Rows
     come through ``toLocalIterator``, one partition in memory at a time; ``.parquet`` is written in parallel.
     """
+    spark = df.sparkSession
     if order and order in df.columns and not path.endswith(".parquet"):
         df = df.orderBy(order)
     if path.endswith(".parquet"):
         df.write.mode("overwrite").parquet(path)
     elif path.endswith((".xlsx", ".xls")):
-        write_xlsx(path, df.columns, (tuple(r) for r in df.toLocalIterator()))
+        with _open(spark, path) as out:
+            write_xlsx(out, df.columns, (tuple(r) for r in df.toLocalIterator()))
     elif path.endswith(".json"):
-        with open(path, "w", encoding="utf-8") as out:
+        with io.TextIOWrapper(_open(spark, path), encoding="utf-8") as out:
             out.write("[")
             for i, (text,) in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
                 body = json.dumps(json.loads(text), ensure_ascii=False, indent=2)
@@ -32,7 +63,7 @@ def write_results(df: DataFrame, path: str, order: str | None = "record_id") ->
             out.write("\n]")
     else:
         path = path if path.endswith(".csv") else path + ".csv"
-        with open(path, "w", encoding="utf-8-sig", newline="") as out:
+        with io.TextIOWrapper(_open(spark, path), encoding="utf-8-sig", newline="") as out:
             writer = csv.writer(out)
             writer.writerow(df.columns)
             for row in df.toLocalIterator():

@@ -57,7 +57,8 @@ _EDGE = r"^\s+|\s+$"
 
 
 def _valid(value: Column) -> Column:
-    return F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit(""))
+    """Without the bytes that are no UTF-8."""
+    return F.when(F.is_valid_utf8(value), value).otherwise(F.replace(F.make_valid_utf8(value), F.lit("�"), F.lit("")))
 
 
 def read_heads(spark, paths: list[str], lines: int = 8000) -> DataFrame:  # noqa: ANN001

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable
+from typing import IO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -56,7 +57,7 @@ def read_xlsx(content: bytes) -> list[dict[str, str | None]]:
     return [{n: row.get(i) for i, n in names.items()} for row in grid[1:]]
 
 
-def write_xlsx(path: str, columns: list[str], rows: Iterable[Iterable]) -> None:
+def write_xlsx(path: str | IO[bytes], columns: list[str], rows: Iterable[Iterable]) -> None:
     """One sheet of inline strings, written row by row."""
     def line(k: int, values: Iterable) -> str:
         cells = "".join(

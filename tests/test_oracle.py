@@ -4,7 +4,9 @@ import duckdb
 import pytest
 
 from compare import same
-from sieveline.plans.queries import QUERIES, SQL
+from sieveline.plans import file_queries, queries
+
+QUERIES, SQL = queries.QUERIES | file_queries.QUERIES, queries.SQL | file_queries.SQL
 
 
 @pytest.fixture(scope="session")

@@ -9,7 +9,7 @@ from sieveline.operators import stats
 from sieveline.operators.dedup import dedup_records
 from sieveline.operators.ranks import average_ranks, rank_filter, rank_score
 from sieveline.operators.review import apply_decisions, batch_review, display_document, undecided_documents
-from sieveline.operators.semantic import MockClient, SemanticClient, SemanticError, analyze_documents, classify_documents, generate_rules, parse_json, semantic_client
+from sieveline.operators.semantic import MockClient, SemanticClient, SemanticError, analyze_documents, classify_boundary, classify_documents, generate_rules, parse_json, semantic_client
 from sieveline.operators.tfidf import tfidf_scores, tfidf_threshold
 from sieveline.plans.pipeline import screen
 from sieveline.streaming.screening import late_counts, screen_stream
@@ -168,3 +168,48 @@ def test_model_calls_hold_whole_abstracts():
     client.classify("t", long, "x")
     client.classify_batch([{"title": "t", "abstract": long}] * 2, "x")
     assert [p.count(long) for p in seen] == [1, 1, 2]
+
+
+def test_prompts_by_language_and_mode():
+    from sieveline.operators.semantic import rule_prompt
+
+    texts = {(lang, m): rule_prompt("sleep", ["a", "b", "c", "d"], "nursing", lang, m) for lang in ("english", "chinese") for m in ("strict", "moderate", "loose")}
+    assert len(set(texts.values())) == 6 and all("sleep" in t and "- c" in t and "- d" not in t and "boundary_patterns" in t for t in texts.values())
+    assert rule_prompt("x", rule_mode="unknown") == rule_prompt("x")
+
+
+def test_replies_of_the_wrong_kind(spark):
+    class Odd(SemanticClient):
+        def __init__(self, reply):
+            super().__init__(LLMConfig())
+            self.reply = reply
+
+        def complete(self, prompt):
+            return self.reply
+
+    df = spark.createDataFrame([(1, "t", None), (2, None, "a")], "record_id long, title string, abstract string")
+    assert {(r.judgment, r.confidence) for r in classify_documents(df, lambda: Odd('[{"confidence": null, "judgment": null, "reason": 3}]'), "x").collect()} == {("boundary", 0.5)}
+    assert {r.confidence for r in classify_documents(df, lambda: Odd("3"), "x").collect()} == {0.0}
+    for reply, want in (('{"judgment": "low", "confidence": "much"}', ("低相关", 0.5)), ("[]", ("边界相关", 0.0)), ("no", ("边界相关", 0.0))):
+        assert {(r.judgment, r.confidence) for r in classify_boundary(df, lambda reply=reply: Odd(reply), "x").collect()} == {want}
+    assert [(r.tags, r.relevance_score) for r in analyze_documents(df, lambda: Odd('{"tags": 3, "relevance_score": null}'), "x").collect()] == [([], 0.0)] * 2
+
+
+def test_mode_texts_and_alerts(spark, capsys):
+    from sieveline.config import RuleMode, mode_description, mode_table
+
+    for language in ("chinese", "english"):
+        for m in RuleMode:
+            got = mode_description(m, language)
+            assert len(got["characteristics"]) == 5 and all(got.values())
+        assert len(mode_table(language).splitlines()) == 7
+    one = lambda text: spark.sql(f"select {text}")
+    assert stats.print_stage(one("3 as rule_boundary_count, 40.0 as needs_review_percentage"), "rules").count("!") == 2
+    assert stats.print_stage(one("3 as undecided"), "review").count("!") == 1 and "!" not in stats.print_stage(one("3 as undecided"), "rank")
+    assert "Rule screening" in capsys.readouterr().out
+
+
+def test_rank_filter_with_one_score_for_most_rows(spark):
+    df = spark.range(30_000).selectExpr("id record_id", "if(id % 3 = 0, 1.0 + id, 0.0) rule_score", "cast(null as double) tfidf_score")
+    got = rank_filter(rank_score(df))
+    assert got.where("rank_tier = 'rank_selected'").count() == 7500 and got.where("rank_percentile is null").count() == 0
