@@ -294,7 +294,8 @@ def train(texts: list[str], labels: list[str], rounds: int = 24, rate: float = 0
 
 def texts_of(records: DataFrame, documents: DataFrame) -> DataFrame:
     """(src, row_id, label, text) of both tables; placeholders are no text."""
-    part = lambda c: F.when(~bare(F.col(c)).isin(*PLACEHOLDERS), F.regexp_replace(F.col(c), r"[\r\n]+", " ") if c == "title" else F.col(c))
+    many = r"^(?:[^\p{L}\p{N}]*[\p{L}\p{N}]){25}"  # more letters than any placeholder has: seen at the start of the text
+    part = lambda c: F.when(F.col(c).rlike(many) | ~bare(F.col(c)).isin(*PLACEHOLDERS), F.regexp_replace(F.col(c), r"[\r\n]+", " ") if c == "title" else F.col(c))
     a = spread(records.select("record_id", "title", "abstract", "lang")).select(F.lit("records").alias("src"), F.col("record_id").alias("row_id"), F.col("lang").alias("label"),
                        F.concat_ws("\n", part("title"), part("abstract")).alias("text"))
     b = spread(documents.select("doc_id", "text", "lang")).select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), F.col("lang").alias("label"),
@@ -310,7 +311,8 @@ def training_sample(texts: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[str,
     """
     at = F.shiftrightunsigned(F.xxhash64("text"), 11) / float(1 << 53)
     named = texts.withColumns({"lang": label_language(F.col("label")), "at": at}).where(F.col("lang").isin(*LANGS) & (F.length("text") > 20))
-    share = {r.lang: min(1.0, 4 * rows / r.n) for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # six rows at most
+    labels = texts.select(label_language(F.col("label")).alias("lang")).where(F.col("lang").isin(*LANGS))  # reads no text
+    share = {r.lang: min(1.0, 4 * rows / r.n) for r in labels.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # six rows at most
     while share:
         bound = reduce(lambda acc, kv: acc.when(F.col("lang") == kv[0], F.lit(kv[1])), share.items(), F.when(F.lit(False), 0.0))
         picked = stage(named.where(F.col("at") < bound.otherwise(0.0)).groupBy("lang", "at").agg(F.any_value("text").alias("text")))
