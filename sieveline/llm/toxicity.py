@@ -23,7 +23,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -166,6 +166,24 @@ class Corpus:
         self.owner = owner[word][self.starts] if len(n) else np.zeros(0, np.int64)
         self.code = np.asarray([_code(w) for w in self.listed], np.int64)
 
+    @cached_property
+    def kinds(self) -> np.ndarray:
+        """A number for each sentence; equal numbers have the same words in the same order."""
+        c = self.code[self.ids] if len(self.ids) else self.ids
+        offset = np.arange(len(c)) - self.starts[self.sentence]
+        mixed = ((c * 2_654_435_761 + offset * 97_531) % 4_294_967_291 * 40_503 + (c ^ (offset * 7_919)) % 65_521) % (1 << 51)
+        first = np.bincount(self.sentence, mixed % (1 << 25), len(self.ends)).astype(np.int64)
+        second = np.bincount(self.sentence, mixed >> 25, len(self.ends)).astype(np.int64)
+        return np.unique(first * 1_000_003 + second * 31 + (self.ends - self.starts), return_inverse=True)[1]
+
+    @cached_property
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """(document, hashed feature), each pair once."""
+        s, f = self.features
+        keys = np.unique(self.owner[s] * WEIGHTS + f)
+        return keys // WEIGHTS, keys % WEIGHTS
+
+    @cached_property
     def features(self) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, hashed feature) of every word, pair, triple."""
         c, s = self.code[self.ids] if len(self.ids) else self.ids, self.sentence
@@ -245,9 +263,7 @@ def telling_words(corpus: Corpus, s: np.ndarray, f: np.ndarray, positive: np.nda
 
     The document itself does not count; what no other document has tells little. Short sentences tell less.
     """
-    doc = corpus.owner[s]
-    keys = np.unique(doc * WEIGHTS + f)
-    d, feature = keys // WEIGHTS, keys % WEIGHTS
+    d, feature = corpus.cells
     p = np.bincount(feature[positive[d]], minlength=WEIGHTS)
     u = np.bincount(feature[others[d]], minlength=WEIGHTS)
     odds = np.log(((p - 1).clip(0) + 0.1) / (positive.sum() + 1)) - np.log((u + 0.5) / max(1, others.sum()))
@@ -275,25 +291,34 @@ def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 3, steps: in
     positive, others = marks == 1, marks != 1
     if not positive.any() or not others.any():
         return np.zeros(WEIGHTS), -9.0
-    s, f = corpus.features()
-    keys = np.unique(corpus.owner[s] * WEIGHTS + f) % WEIGHTS
-    often = np.bincount(keys, minlength=WEIGHTS) >= 2  # what stands in one document only can't be learned from
+    s, f = corpus.features
+    often = np.bincount(corpus.cells[1], minlength=WEIGHTS) >= 2  # what stands in one document only can't be learned from
     s, f = s[often[f]], f[often[f]]
     listed = [_grams(w) for w in corpus.listed]
     g_owner = np.repeat(np.arange(len(listed)), [len(g) for g in listed])
     g_feat = np.asarray([x for g in listed for x in g], np.int64)
     g_share = 1 / np.asarray([len(g) for g in listed], float)[g_owner]
     n = len(corpus.ends)
-    scale = 1 / np.sqrt(corpus.ends - corpus.starts)
+    # sentences with the same words have the same score: what is summed over words is so once for them
+    kind = corpus.kinds
+    shown = np.zeros(n, bool)
+    shown[np.unique(kind, return_index=True)[1]] = True
+    kinds = int(kind.max()) + 1
+    once = shown[s]
+    s, f = kind[s[once]], f[once]
+    said = shown[corpus.sentence]
+    words, of = corpus.ids[said], kind[corpus.sentence[said]]
+    scale = np.zeros(kinds)
+    scale[kind] = 1 / np.sqrt(corpus.ends - corpus.starts)
     inside, denied = positive[corpus.owner], (marks == 0)[corpus.owner]
     common = boilerplate(corpus, others)
     able = inside & ~common
-    chosen = np.where(able, telling_words(corpus, *corpus.features(), positive, others), 0)
+    chosen = np.where(able, telling_words(corpus, *corpus.features, positive, others), 0)
     weights, bias, prior = np.zeros(WEIGHTS), -9.0, 0.01
 
     def logits(weights: np.ndarray, bias: float) -> np.ndarray:
         own = np.bincount(g_owner, weights[g_feat] * g_share, len(listed))
-        return bias + (np.bincount(s, weights[f], n) + np.bincount(corpus.sentence, own[corpus.ids], n)) * scale
+        return (bias + (np.bincount(s, weights[f], kinds) + np.bincount(of, own[words], kinds)) * scale)[kind]
 
     for turn in range(rounds):
         top = np.full(len(positive), -np.inf)
@@ -317,8 +342,8 @@ def train_category(corpus: Corpus, marks: np.ndarray, rounds: int = 3, steps: in
             negative = w_u * sig - prior * w_p * sig
             # a negative estimate means overfitting: then the step undoes that part alone
             grad = (prior * w_p * (sig - 1) + negative if negative_risk >= 0 else -negative) / prior
-            per = grad * scale
-            own = np.bincount(corpus.ids, per[corpus.sentence], len(listed))
+            per = np.bincount(kind, grad, kinds) * scale
+            own = np.bincount(words, per[of], len(listed))
             gw = np.bincount(f, per[s], WEIGHTS) + np.bincount(g_feat, own[g_owner] * g_share, WEIGHTS) + decay * weights
             moment += gw**2
             bias_moment += grad.sum() ** 2
