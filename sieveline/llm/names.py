@@ -23,12 +23,13 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.operators.joins import digest, join_lookup
+from sieveline.operators.joins import HOT_AT, digest, join_lookup
 from sieveline.operators.packed import split_packed
 from sieveline.session import stage
 
@@ -446,19 +447,32 @@ def read_names(df: DataFrame) -> DataFrame:
 
 def settle_order(names: DataFrame) -> DataFrame:
     """Decide "Surname Given" against "Given Surname" by which word is the more frequent given name."""
-    given = names.where("kind = 'p' and author like '%,%'").select(F.explode("names").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     two = (F.col("kind") == "p") & ~F.col("author").contains(",") & (F.size("names") > 0)
-    rows = names.withColumn("_first", F.when(two, F.col("names")[0])).withColumn("_as_name", F.when(two, F.col("surname")))
-    a = given.select(F.col("word").alias("_first"), F.col("n").alias("_n_first"))
-    b = given.select(F.col("word").alias("_as_name"), F.col("n").alias("_n_last"))
-    rows = rows.join(a, "_first", "left").join(b, "_as_name", "left")
-    swap = two & (F.coalesce("_n_last", F.lit(0)) > F.coalesce("_n_first", F.lit(0)))
+    rows = names.withColumns({"_first": F.when(two, digest(F.col("names")[0])), "_last": F.when(two, digest(F.col("surname")))})
+    given = names.where("kind = 'p' and author like '%,%'").select(F.explode("names").alias("_w")).select(digest(F.col("_w")).alias("_word"), F.lit(1).alias("_given"))
+    either = rows.where(two).select(F.explode(F.array("_first", "_last")).alias("_word"), F.lit(0).alias("_given"))
+    counts = stage(given.unionByName(either).groupBy("_word").agg(F.sum("_given").alias("_given"), F.count("*").alias("n")))
+    for c in ("_first", "_last"):  # words that no name with a comma has are in the table as well, for a hot one is met there
+        rows = join_lookup(rows, counts.select(F.col("_word").alias(c), F.col("_given").alias(f"{c}_n"), "n"), [c], how="left")
+    swap = two & (F.coalesce("_last_n", F.lit(0)) > F.coalesce("_first_n", F.lit(0)))
     letters = F.concat(F.substring("surname", 1, 1), F.expr("substring(ini, 2)"))  # the hyphen of a surname is gone
     return rows.withColumns({
         "surname": F.when(swap, F.col("names")[0]).otherwise(F.col("surname")),
         "names": F.when(swap, F.concat(F.array("surname"), F.slice("names", 2, F.size("names")))).otherwise(F.col("names")),
         "ini": F.when(swap, letters).otherwise(F.col("ini")),
-    }).drop("_first", "_as_name", "_n_first", "_n_last")
+    }).select(*names.columns)
+
+
+def touched(rows: DataFrame, on: list[str], counts: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with ``_in``: whether their key is in ``table``. ``counts`` has every key with its number of rows ``n``.
+
+    Keys of many rows are met in a lookup whether they are in the table or not, so they are never gathered.
+    """
+    key = F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on]), digest(F.to_json(F.struct(*on)))).alias("_key")
+    known = counts.join(table.select(*on).distinct().withColumn("_in", F.lit(True)), on, "left")
+    look = stage(known.where(F.col("_in") | (F.col("n") >= HOT_AT)).select(key, F.coalesce("_in", F.lit(False)).alias("_in"), "n"))
+    got = join_lookup(rows.select("*", key), look, ["_key"], how="left").drop("_key")
+    return got.withColumn("_in", F.coalesce("_in", F.lit(False)))
 
 
 def near_words(counts: DataFrame, by: list[str], word: str) -> DataFrame:
@@ -480,12 +494,14 @@ def corrected_given(names: DataFrame) -> DataFrame:
     first = F.when((F.col("kind") == "p") & (F.size("names") > 0), F.col("names")[0])
     counts = names.select(first.alias("_given")).where("_given is not null").groupBy("_given").agg(F.count("*").alias("n"))
     better = near_words(counts, [], "_given").where(f"n >= {COMMON} * mine").groupBy("_given").agg(F.max_by("to", F.struct("n", "to")).alias("_to"))
-    rows = names.withColumn("_given", first).join(better, "_given", "left")
+    better = stage(better)
+    marked = touched(names.withColumn("_given", first), ["_given"], counts, better)
+    rows = marked.where("_in").join(better, "_given", "left").unionByName(marked.where("not _in").withColumn("_to", F.lit(None).cast("string")))
     return rows.withColumns({
         "names": F.when(F.col("_to").isNotNull(), F.concat(F.array("_to"), F.slice("names", 2, F.size("names")))).otherwise(F.col("names")),
         "ini": F.when(F.col("_to").isNotNull(), F.concat(F.substring("_to", 1, 1), F.expr("substring(ini, 2)"))).otherwise(F.col("ini")),
         "misspelt": F.col("_to").isNotNull(),
-    }).drop("_given", "_to")
+    }).drop("_given", "_to", "_in")
 
 
 def corrected_surnames(names: DataFrame, typo: float) -> DataFrame:
@@ -496,8 +512,8 @@ def corrected_surnames(names: DataFrame, typo: float) -> DataFrame:
     than misspellings are to be expected of the other, times what place and given name say (``EVIDENCE``). The
     candidate with the same place, then the best given name, then the most frequent, wins.
     """
-    counts = names.groupBy("kind", "surname").agg(F.count("*").alias("n"))
-    pairs = near_words(counts, ["kind"], "surname").where(f"mine <= {max(TAKEN)} + {typo * EVIDENCE[0]} * n")
+    counts = stage(names.groupBy("kind", "surname").agg(F.count("*").alias("n")))
+    pairs = stage(near_words(counts, ["kind"], "surname").where(f"mine <= {max(TAKEN)} + {typo * EVIDENCE[0]} * n"))
     letter = F.when(F.col("kind") == "g", F.col("ini")).otherwise(F.lower(F.substring("ini", 1, 1)))
     given = F.when(F.col("kind") == "g", F.col("ini")).when(F.size("names") > 0, F.col("names")[0]).when(F.length("ini") > 1, F.lower("ini"))
     letters = F.when((F.col("kind") == "p") & (F.length("ini") > 1), F.lower("ini"))
@@ -507,7 +523,7 @@ def corrected_surnames(names: DataFrame, typo: float) -> DataFrame:
     some = there.select("kind", "to", "_letter").distinct().withColumn("_some", F.lit(1))
     named = there.where("_given != '?'").select("kind", "to", "_given").distinct().withColumn("_named", F.lit(1))
     unknown = there.where("place = ''").select("kind", "to", "_letter").distinct().withColumn("_unknown", F.lit(1))
-    scored = rows.join(pairs, ["kind", "surname"])
+    scored = touched(rows, ["kind", "surname"], counts, pairs).where("_in").drop("_in").join(pairs, ["kind", "surname"])
     for side, on in ((same_place, ["kind", "to", "_letter", "place"]), (some, ["kind", "to", "_letter"]), (named, ["kind", "to", "_given"]),
                      (unknown, ["kind", "to", "_letter"])):
         scored = scored.join(side, on, "left")
@@ -521,9 +537,11 @@ def corrected_surnames(names: DataFrame, typo: float) -> DataFrame:
         F.max_by("to", F.struct(F.col("_fits") + hit("_named"), "n", "to")).alias("block"))
     moved = stage(names.join(best, "name_id", "left").withColumn("block", F.coalesce("block", "surname")))
     # where all rows of a surname have moved on, so do those that were sent to it
-    onward = moved.groupBy("kind", "surname").agg(F.max("block").alias("_max"), F.min("block").alias("_min")).where(
-        "_max = _min and _max != surname").select("kind", F.col("surname").alias("block"), F.col("_max").alias("_on"))
-    return moved.join(onward, ["kind", "block"], "left").withColumn("block", F.coalesce("_on", "block")).drop("_on")
+    onward = stage(moved.groupBy("kind", "surname").agg(F.max("block").alias("_max"), F.min("block").alias("_min")).where(
+        "_max = _min and _max != surname").select("kind", F.col("surname").alias("block"), F.col("_max").alias("_on")))
+    marked = touched(moved, ["kind", "block"], moved.groupBy("kind", "block").agg(F.count("*").alias("n")), onward)
+    sent = marked.where("_in").join(onward, ["kind", "block"]).withColumn("block", F.col("_on")).drop("_on", "_in")
+    return sent.unionByName(marked.where("not _in").drop("_in"))
 
 
 def measured_rates(names: DataFrame, corrected: DataFrame) -> Rates:
