@@ -7,6 +7,10 @@ state of the earliest row against that of the latest. Together with containment
 precedes what contains it) this orders the values of a group. Of its maximal values the last
 loaded survives, then that of the most trusted format, and only then the largest.
 
+Which field has one full value is a matter of states, whatever their learned order, and of containment.
+Between two values that containment leaves open, the transitions of the values themselves decide: one that
+over many groups gave way to unrelated ones precedes the others of its group.
+
 What is compared are integers (hash, size and state of a value), as aggregates with map-side
 combine; texts are only fetched where one value may lie in another, one row for all copies of a
 value. A value is compared with the largest of its group, not with all others. Joins on a group
@@ -111,19 +115,19 @@ def cells_of(values: DataFrame) -> DataFrame:
 
 
 def distinct_values(cells: DataFrame) -> DataFrame:
-    """(group_id, field, hash, n, record_id, state, size): every usable value of a group once, with the smallest record that has it."""
+    """(group_id, field, hash, n, record_id, state, size, first, last): every usable value of a group once, with the smallest record that has it and its times."""
     return cells.where(F.col("state") > UNUSABLE).groupBy("group_id", "field", "hash").agg(
-        F.count("*").alias("n"), F.min("record_id").alias("record_id"), F.max("state").alias("state"), F.max("size").alias("size"))
+        F.count("*").alias("n"), F.min("record_id").alias("record_id"), F.max("state").alias("state"), F.max("size").alias("size"),
+        F.min("loaded_at").alias("first"), F.max("loaded_at").alias("last"))
 
 
 def against_top(once: DataFrame, top: DataFrame, values: DataFrame) -> DataFrame:
-    """(group_id, field, hash, n, record_id, state, size, within): every value of ``once`` but its group's top, and whether it lies in that.
+    """Every value of ``once`` but its group's top, with the columns of ``top`` and ``within``, whether it lies in that.
 
-    ``top`` has (group_id, field, top_hash, top_record, top_size, vals). In a value of equal or smaller size nothing
-    else lies, so only smaller values and their tops meet as texts.
+    ``top`` is of ``_tops``. In a value of equal or smaller size nothing else lies, so only smaller values and their
+    tops meet as texts.
     """
-    own = ["group_id", "field", "hash", "n", "record_id", "state", "size"]
-    others = stage(join_lookup(once.select(*own), top.withColumn("_n", F.col("vals")), ["group_id", "field"], weight="_n").where("hash != top_hash"))
+    others = stage(join_lookup(once, top.withColumn("_n", F.col("vals")), ["group_id", "field"], weight="_n").where("hash != top_hash"))
     small = others.where("size < top_size")
     wanted = small.select("record_id", "group_id", "field", "hash", "vals", F.lit(False).alias("is_top")).unionByName(
         top.where("vals > 1").select(F.col("top_record").alias("record_id"), "group_id", "field", F.col("top_hash").alias("hash"), "vals", F.lit(True).alias("is_top")))
@@ -135,15 +139,15 @@ def against_top(once: DataFrame, top: DataFrame, values: DataFrame) -> DataFrame
     terms = F.size(F.array_except(F.split("text", _SEP), F.split("whole", _SEP))) == 0
     inside = F.when(F.col("field") == FIELDS.index("keywords"), terms).otherwise(F.col("whole").contains(F.col("text")))
     held = met.where(inside).select("group_id", "field", "hash", F.lit(True).alias("within")).distinct()
-    return others.select(*own).join(held, ["group_id", "field", "hash"], "left").withColumn("within", F.coalesce("within", F.lit(False)))
+    return others.join(held, ["group_id", "field", "hash"], "left").withColumn("within", F.coalesce("within", F.lit(False)))
 
 
-def _tops(once: DataFrame, among: Column) -> DataFrame:
-    """The largest value of each group and field, with the number of its rows and of all values of the group."""
-    best = F.max(F.when(among, F.struct("size", "n", "record_id", "hash"))).alias("top")
+def _tops(once: DataFrame, among: Column, early: Column) -> DataFrame:
+    """The largest value of each group and field, an ``early`` one only if there is no other, with the number of its rows and of all values of the group."""
+    best = F.max(F.when(among, F.struct((~early).alias("late"), "size", "n", "record_id", "hash", "first", "last"))).alias("top")
     return once.groupBy("group_id", "field").agg(best, F.count("*").alias("vals")).where("top is not null").select(
         "group_id", "field", F.col("top.hash").alias("top_hash"), F.col("top.record_id").alias("top_record"), F.col("top.size").alias("top_size"),
-        F.col("top.n").alias("top_n"), "vals")
+        F.col("top.n").alias("top_n"), F.col("top.first").alias("top_first"), F.col("top.last").alias("top_last"), (~F.col("top.late")).alias("top_early"), "vals")
 
 
 def contained(once: DataFrame, values: DataFrame) -> DataFrame:
@@ -154,10 +158,10 @@ def contained(once: DataFrame, values: DataFrame) -> DataFrame:
     """
     left, found = once, once.limit(0).select("group_id", "field", "hash", "n")
     while True:
-        top = stage(_tops(left, F.lit(True)))
+        top = stage(_tops(left, F.lit(True), F.lit(False)))
         if top.where("vals > 1").isEmpty():
             return found
-        rest = stage(against_top(left, top.drop("top_n"), values))
+        rest = stage(against_top(left, top.drop("top_n"), values).select(*left.columns, "within"))
         found = found.unionByName(rest.where("within").select("group_id", "field", "hash", "n"))
         left = rest.where("not within").drop("within")
 
@@ -182,6 +186,22 @@ def learned_order(cells: DataFrame) -> list[list[float]]:
     return [[-math.inf, *(sum(odds(f, t, s) for t in valued if t != s) / 2 for s in valued)] for f in range(len(FIELDS))]
 
 
+def learned_early(open_pairs: DataFrame) -> DataFrame:
+    """(field, hash, n, early): values that precede whatever they meet, from their transitions over all groups.
+
+    ``open_pairs`` has values and the tops of their groups that don't lie in each other. The earlier one is both
+    first and last loaded before the other; equal and null times say nothing. A group counts a value once. A value is
+    early as soon as what was seen outweighs ``PRIOR``.
+    """
+    sooner = F.coalesce((F.col("first") < F.col("top_first")) & (F.col("last") < F.col("top_last")), F.lit(False))
+    later = F.coalesce((F.col("first") > F.col("top_first")) & (F.col("last") > F.col("top_last")), F.lit(False))
+    sides = F.array(F.struct("hash", sooner.alias("before"), later.alias("after")), F.struct(F.col("top_hash").alias("hash"), later.alias("before"), sooner.alias("after")))
+    seen = open_pairs.select("group_id", "field", F.explode(sides).alias("s")).groupBy("group_id", "field", "s.hash").agg(F.max("s.before").alias("before"), F.max("s.after").alias("after"))
+    counts = seen.groupBy("field", "hash").agg(F.count("*").alias("n"), F.count_if(F.col("before") & ~F.col("after")).alias("there"), F.count_if(F.col("after") & ~F.col("before")).alias("back"))
+    share = F.least(F.lit(1.0), WEIGHT / F.greatest(F.col("there") + F.col("back"), F.lit(1)))
+    return counts.where(F.col("there") * share + PRIOR[1] > F.col("back") * share + PRIOR[0]).select("field", "hash", "n", F.lit(True).alias("early"))
+
+
 def learned_trust(cells: DataFrame) -> DataFrame:
     """(format, field, trust, n): the share of a format's values that are full, drawn to that of all formats."""
     counts = stage(cells.groupBy("format", "field").agg(F.count_if(F.col("state") == FULL).alias("full"), F.count_if(F.col("state") > MISSING).alias("valued"), F.count("*").alias("n")))
@@ -214,19 +234,34 @@ def latest_values(values: DataFrame) -> DataFrame:
     return wide.join(trust, "group_id").join(size, "group_id")
 
 
+def _settled(once: DataFrame, open_pairs: DataFrame, early: DataFrame, values: DataFrame) -> DataFrame:
+    """Tops of the groups and fields of ``open_pairs`` that all other values precede, by ``early`` or as they lie in them."""
+    key = ["group_id", "field"]
+    again = join_lookup(once, open_pairs.groupBy(*key).agg(F.count("*").alias("pairs")), key, weight="pairs")
+    again = stage(join_lookup(again, early, ["field", "hash"], how="left").withColumn("early", F.coalesce("early", F.lit(False))))
+    top = stage(_tops(again, F.col("state") == FULL, F.col("early")))
+    rivals = against_top(again, top.where("vals > 1").drop("top_n"), values).where("not within and (top_early or not early)")
+    return top.join(rivals.select(*key).distinct(), key, "left_anti")
+
+
 def only_full(records: DataFrame) -> DataFrame:
     """(group_id, field_name, record_id): fields of which one member alone holds the full and usable value.
 
-    Every other member has none, something unusable, or a part of it. Two members with the same full value,
-    or with values that don't contain each other, are no case. Which state is the later plays no part in this.
+    Every other member has none, something unusable, or a part of it: the value is the one maximal element of the
+    order of its group. Two members with the same full value, or with values that don't contain each other, are no
+    case, unless one was learned to precede others (``learned_early``). Which state is the later plays no part in this.
     """
     values = stage(member_values(records, publication_groups(records)))
     once = stage(distinct_values(cells_of(values)))
-    top = stage(_tops(once, F.col("state") == FULL).where("top_n = 1").drop("top_n"))
-    rivals = against_top(once, top.where("vals > 1"), values).where("not within").select("group_id", "field").distinct()
+    top = stage(_tops(once, F.col("state") == FULL, F.lit(False)))
+    open_pairs = stage(against_top(once, top.where("vals > 1").drop("top_n"), values).where("not within").select(
+        "group_id", "field", "hash", "first", "last", "top_hash", "top_first", "top_last"))
+    unrivalled = top.join(open_pairs.select("group_id", "field").distinct(), ["group_id", "field"], "left_anti")
+    early = learned_early(open_pairs)
+    if not early.isEmpty():
+        unrivalled = unrivalled.unionByName(_settled(once, open_pairs, stage(early), values))
     names = F.array(*[F.lit(f) for f in FIELDS])
-    return top.join(rivals, ["group_id", "field"], "left_anti").select(
-        "group_id", names[F.col("field")].alias("field_name"), F.col("top_record").alias("record_id"))
+    return unrivalled.where("top_n = 1").select("group_id", names[F.col("field")].alias("field_name"), F.col("top_record").alias("record_id"))
 
 
 def survivors(records: DataFrame) -> DataFrame:

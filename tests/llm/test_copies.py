@@ -112,6 +112,29 @@ def test_timestamps_can_outweigh_the_prior(spark, groups, back, cut):
     assert only_full(df).count() == groups
 
 
+def transitions(spark, first, then, groups, back=0, null=False):
+    """Groups whose earlier row has the keywords ``first``, the other way round in the last ``back``; one with ``first`` alone."""
+    rows = [(2 * g + (k != (g >= groups - back)), f"Title {g}", "Doe, A.", None, text(g), None) for g in range(groups) for k, text in enumerate((first, then))]
+    rows += [(2 * groups + k, "Alone", "Doe, A.", None, text, None) for k, text in enumerate((first(0), None))]
+    when = F.expr("timestamp_ntz'2021-01-01 00:00:00' + make_dt_interval(0, 0, cast(record_id as int))")
+    return frame(spark, rows).withColumn("loaded_at", F.lit(None).cast("timestamp_ntz") if null else when)
+
+
+STOCK = ("to be assigned", "a; b; c; to be assigned by the indexer")
+
+
+@pytest.mark.parametrize("stock", STOCK)
+@pytest.mark.parametrize("groups, back, null, early", [(60, 0, False, True), (15, 0, False, False), (60, 30, False, False), (60, 0, True, False), (60, 60, False, False)])
+def test_values_that_always_give_way_precede_the_others(spark, stock, groups, back, null, early):
+    got = sorted(map(tuple, only_full(transitions(spark, lambda g: stock, lambda g: f"sleep {g}; pain", groups, back, null)).collect()))
+    assert got == [(2 * g, "keywords", 2 * g + 1) for g in range(groups) if early] + [(2 * groups, "keywords", 2 * groups)]
+
+
+def test_a_value_within_the_later_ones_is_not_learned_to_precede(spark):
+    df = transitions(spark, lambda g: "sleep", lambda g: f"pain {g}; sleep" if g < 40 else "mice; rats", 45)
+    assert only_full(df).count() == 40 + 1
+
+
 def test_maximal_values_then_time_then_trust_then_size(spark):
     one, two = FULL + " And a fourth one makes it long.", "An altogether other text of the same work."
     rows = [
