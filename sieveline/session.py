@@ -54,16 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
 _staged: list[tuple[SparkSession, str]] = []
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage as ``checkpoint()`` does, but computes the plan once and
     keeps the columns in Parquet, so that later readers prune columns. Losing an
     executor loses nothing. The files stay until ``clean_staged`` or the end of the program.
+    ``rows_per_file`` splits what few tasks write, for many to read (0: no limit).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**({"maxRecordsPerFile": rows_per_file} if rows_per_file else {})).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import io
 import os
 import zipfile
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 from urllib.parse import unquote
 from xml.etree.ElementTree import ParseError
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveline.functions.text import NA_LITERALS, collapse_ws, extract_year, normalize_colname, normalize_doi, safe_str
+from sieveline.session import stage
 from sieveline.sources.tagged import GRAMMARS, parse_tagged, read_heads, read_pieces, sniff
-from sieveline.sources.xlsx import read_xlsx
+from sieveline.sources.xlsx import sheet_parts, sheet_rows
 
 # File types, canonical columns, and the names exports use for them.
 EXTENSIONS = (".csv", ".xlsx", ".xls", ".tsv", ".json", ".jsonl", ".ris", ".nbib", ".txt")
@@ -103,26 +107,83 @@ def read_table(spark: SparkSession, paths: list[str], ext: str, na_literals: boo
         if ext == ".xls":
             raise LoadError("the old binary .xls format is not supported; save the sheet as .xlsx")
 
-        @F.pandas_udf("array<map<string,string>>")
-        def sheet(contents: pd.Series) -> pd.Series:
-            def one(content: bytes) -> list | None:
-                try:
-                    return read_xlsx(content)
-                except (zipfile.BadZipFile, ParseError, KeyError, IndexError, ValueError):
-                    return None
-
-            return contents.map(one)
-
-        files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("_path"), sheet("content").alias("_rows"))
-        broken = F.col("_rows").isNull()
-        cells = files.select("_path", broken.alias("_bad"), F.explode(F.when(broken, F.array(F.create_map().cast("map<string,string>"))).otherwise(F.col("_rows"))).alias("_row"))
-        names = [r[0] for r in cells.select(F.explode(F.map_keys("_row")).alias("n")).distinct().collect()]  # header names
-        out = cells.select("_path", "_bad", *[F.col("_row")[n].alias(n) for n in sorted(names)])
+        sheets = stage(_sheets(spark, paths))
+        names = sorted(r[0] for r in sheets.select(F.explode("names").alias("n")).distinct().collect())  # header names
+        cells = stage(_cells(spark, sheets, paths, names), 50_000)  # parsed once
+        broken = F.broadcast(cells.where("_bad").select("_path").distinct())
+        whole = {r[0] for r in sheets.join(broken, "_path", "left_anti").select(F.explode("names").alias("n")).distinct().collect()}
+        out = cells.select("_path", "_bad", *[F.col(f"_{i}").alias(n) for i, n in enumerate(names) if n in whole])
     if na_literals:
         out = out.withColumns({c: F.when(~F.col(f"`{c}`").isin(*NA_LITERALS), F.col(f"`{c}`")) for c in out.columns if c not in ("_path", "_bad")})
     return out
 
 
+_BROKEN = (zipfile.BadZipFile, ParseError, KeyError, IndexError, ValueError)
+
+
+def _books(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(_path, content) of workbooks; a local file is read from its place, of other file systems each file comes whole."""
+    frames = []
+    for local in (True, False):
+        if some := [p for p in paths if p.startswith("/") == local]:
+            content = F.lit(None).cast("binary") if local else F.col("content")
+            frames.append(spark.read.format("binaryFile").load(some).select(F.col("_metadata.file_path").alias("_path"), content.alias("content")))
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _book(path: str, content: bytes | None) -> zipfile.ZipFile:
+    return zipfile.ZipFile(_plain_path(unquote(path)) if content is None else io.BytesIO(content))
+
+
+def _sheets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(_path, part, names): the sheets of workbooks that are read, with their header if rows follow it."""
+
+    @F.udf("array<struct<part:string,names:array<string>>>")
+    def heads(path, content):  # noqa: ANN001, ANN202
+        out = []
+        try:
+            with _book(path, content) as z:
+                for part in sheet_parts(z):
+                    names, rows = sheet_rows(z, part)
+                    out.append((part, names if next(rows, None) is not None else []))
+        except _BROKEN:
+            return [("", [])]
+        return out
+
+    return _books(spark, paths).select("_path", F.inline(heads("_path", "content")))
+
+
+def _cells(spark: SparkSession, sheets: DataFrame, paths: list[str], names: list[str]) -> DataFrame:
+    """(_path, _bad, _0, _1, ...): the rows of sheets with a column for each of ``names``, and a bad row for a broken file.
+
+    Each sheet is read by a task of its own, row by row.
+    """
+    shape = ", ".join(["_path string", "_bad boolean", *[f"_{i} string" for i in range(len(names))]])
+
+    def batch(path: str, head: list[str], rows: list[list[str | None]], bad: bool = False) -> pa.RecordBatch:
+        found = dict(zip(head, zip(*rows)))
+        cells = [pa.array(found[n], pa.string()) if n in found else pa.nulls(len(rows), pa.string()) for n in names]
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([bad] * len(rows)), *cells], ["_path", "_bad", *[f"_{i}" for i in range(len(names))]])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            try:
+                with _book(r["_path"], r["content"]) as z:
+                    head, rows = sheet_rows(z, r["part"])
+                    while some := list(islice(rows, 1000)):
+                        yield batch(r["_path"], head, some)
+            except _BROKEN:
+                yield batch(r["_path"], [], [[]], True)
+
+    sheets = sheets.select("_path", "part").repartition(spark.sparkContext.defaultParallelism)
+    far = [p for p in paths if not p.startswith("/")]
+    if far:
+        sheets = sheets.join(_books(spark, far), "_path", "left")
+    else:
+        sheets = sheets.withColumn("content", F.lit(None).cast("binary"))
+    return sheets.mapInArrow(read, shape)
+
+
 def _plain_path(path: str) -> str:
     """A local path without its scheme, any other as it is."""
     return "/" + path[5:].lstrip("/") if path.startswith("file:") else path

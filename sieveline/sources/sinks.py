@@ -5,12 +5,15 @@ from __future__ import annotations
 import csv
 import io
 import json
+from collections.abc import Iterator
 from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.sources.xlsx import write_xlsx
+from sieveline.sources.xlsx import Piece, sheet_pieces, write_pieces
+
+BATCH_BYTES = 64 << 20
 
 
 class _Remote(io.RawIOBase):
@@ -40,11 +43,26 @@ def _open(spark: SparkSession, path: str) -> IO[bytes]:
     return open(path, "wb") if local else io.BufferedWriter(_Remote(spark, path), 1 << 20)
 
 
+def _pieces(df: DataFrame) -> Iterator[Piece]:
+    """The rows as pieces of a sheet, made by the tasks; so many partitions at once come to the driver as keep to BATCH_BYTES."""
+    context = df.sparkSession.sparkContext
+    parts = df.rdd.mapPartitions(lambda rows: [[*sheet_pieces(rows)]])
+    at, step, n, largest = 0, 1, parts.getNumPartitions(), 1
+    while at < n:
+        batch = context.runJob(parts, list, [*range(at, min(at + step, n))])
+        at += step
+        largest = max(largest, *[sum(len(p[3]) for p in pieces) for pieces in batch])
+        step = max(1, min(context.defaultParallelism, BATCH_BYTES // largest))
+        for pieces in batch:
+            yield from pieces
+
+
 def write_results(df: DataFrame, path: str, order: str | None = "record_id") -> str:
     """Write one file by the extension of ``path`` and return the path written.
 
     ``.csv`` has a BOM, ``.json`` is an indented array; an unknown extension gets ``.csv`` appended. Rows
-    come through ``toLocalIterator``, one partition in memory at a time; ``.parquet`` is written in parallel.
+    come through ``toLocalIterator``, one partition in memory at a time; ``.xlsx`` is made and deflated by the tasks
+    and only strung together here, ``.parquet`` is written in parallel.
     """
     spark = df.sparkSession
     if order and order in df.columns and not path.endswith(".parquet"):
@@ -53,7 +71,7 @@ def write_results(df: DataFrame, path: str, order: str | None = "record_id") ->
         df.write.mode("overwrite").parquet(path)
     elif path.endswith((".xlsx", ".xls")):
         with _open(spark, path) as out:
-            write_xlsx(out, df.columns, (tuple(r) for r in df.toLocalIterator()))
+            write_pieces(out, df.columns, _pieces(df))
     elif path.endswith(".json"):
         with io.TextIOWrapper(_open(spark, path), encoding="utf-8") as out:
             out.write("[")

@@ -1,8 +1,10 @@
 import json
 import os
+import zipfile
 
 import pytest
 
+from sieveline.sources import xlsx
 from sieveline.sources.load import LoadError, load_records
 from sieveline.sources.sinks import write_results
 from sieveline.sources.tagged import PUBMED, RIS, WOS, parse_tagged, read_pieces, sniff
@@ -125,3 +127,34 @@ def test_sinks(spark, tmp_path):
     rows = read_xlsx(open(write_results(df, str(tmp_path / "o.xlsx")), "rb").read())
     assert rows[0]["t"] == 'ä,"x' and len(rows) == 2
     assert os.path.isdir(write_results(df, str(tmp_path / "o.parquet")))
+
+
+def test_a_sheet_goes_on_in_the_next(spark, tmp_path, monkeypatch):
+    for name, value in (("SHEET_ROWS", 150), ("SHEET_BYTES", 20_000), ("PIECE_BYTES", 500)):
+        monkeypatch.setattr(xlsx, name, value, raising=False)
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 20_000)  # as 2 GB of XML
+    rows = [(i, f"<T> & {i}", None if i % 3 else "x" * (i % 70)) for i in range(1000)]
+    want = [{"Nr": str(i), "Title": t, "AU": v} for i, t, v in rows]
+    write_xlsx(str(tmp_path / "a.xlsx"), ["Nr", "Title", "AU"], rows)
+    df = spark.createDataFrame(rows, "Nr long, Title string, AU string")
+    for path in (str(tmp_path / "a.xlsx"), write_results(df, str(tmp_path / "b.xlsx"), "Nr"), write_results(df.repartition(9), str(tmp_path / "c.xlsx"), None)):
+        with zipfile.ZipFile(path) as z:
+            assert z.testzip() is None
+            sheets = [i for i in z.infolist() if i.filename.startswith("xl/worksheets/")]
+            assert len(sheets) > 5 or not path.endswith("a.xlsx")
+            assert all(z.read(i).count(b"<row>") <= 150 and i.file_size <= 20_000 for i in sheets if path.endswith("a.xlsx"))
+        got = read_xlsx(open(path, "rb").read())
+        assert (sorted(got, key=lambda r: int(r["Nr"])) if path.endswith("c.xlsx") else got) == want
+        records, log = load_records(spark, path)
+        assert sorted((int(r.Nr), r.title, r.author) for r in records.collect()) == [(i, t, v or "") for i, t, v in rows]
+        assert log.first().record_count == 1000
+
+
+def test_a_sheet_that_breaks_off_fails_alone(spark, tmp_path):
+    write_xlsx(str(tmp_path / "a.xlsx"), ["Title", "Nr"], [("X", 1)])
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{xlsx._NS["m"]}"><sheetData>' + "".join(  # noqa: SLF001
+            f'<row r="{k}"><c r="B{k}"><v>{k}</v></c></row>' for k in range(1, 3000)) + "<row>")
+    records, log = load_records(spark, str(tmp_path))
+    assert [(r.title, r.Nr) for r in records.collect()] == [("X", "1")] and "1" not in records.columns
+    assert [(r.source_file, r.status, r.record_count) for r in log.collect()] == [("a.xlsx", "success", 1), ("b.xlsx", "failed", 0)]
